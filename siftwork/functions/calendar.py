@@ -6,14 +6,24 @@ ANSI mode: an impossible date gives null instead of an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
 
 
-def _int(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+def bind(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with columns added by a one-row generator.
+
+    The optimiser merges neighbouring projections and so repeats an expression wherever its result is used; it doesn't
+    merge across a generator. Each expression bound here is computed once a row, and generated methods stay small.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
+def _div(a: Column, b: int) -> Column:
+    """Whole-number division of bigints, without a detour through doubles."""
+    return F.call_function("div", a, F.lit(b))
 
 
 def is_leap(y: Column) -> Column:
@@ -36,10 +46,10 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     The year is taken to begin in March, so that the leap day comes last and month offsets are linear.
     """
     z = F.when(m <= 2, y - 1).otherwise(y).cast("bigint")
-    era = F.floor(z / 400).cast("bigint")
+    era = _div(z, 400)
     yoe = z - era * 400
-    doy = F.expr("0") + F.floor((153 * ((m + 9) % 12) + 2) / 5).cast("bigint") + d - 1
-    doe = yoe * 365 + F.floor(yoe / 4).cast("bigint") - F.floor(yoe / 100).cast("bigint") + doy
+    doy = _div((153 * ((m + 9) % 12) + 2).cast("bigint"), 5) + d - 1
+    doe = yoe * 365 + _div(yoe, 4) - _div(yoe, 100) + doy
     return (era * 146097 + doe - 719468).cast("bigint")
 
 
@@ -51,20 +61,9 @@ def checked_days(y: Column, m: Column, d: Column) -> Column:
 
 def utc_text(us: Column) -> Column:
     """Microseconds since 1970 UTC as ``2024-03-09T07:05:01.250000Z``; null stays null."""
-    days = F.floor(us / F.lit(DAY_US)).cast("int")
-    # the division is exact enough for the day only when it isn't on a boundary: correct it in integers
-    rest0 = us - days.cast("bigint") * DAY_US
-    days = F.when(rest0 < 0, days - 1).when(rest0 >= DAY_US, days + 1).otherwise(days)
-    rest = us - days.cast("bigint") * DAY_US
-    sec = F.expr("0").cast("bigint") + (rest - rest % 1_000_000) / 1_000_000
-    sec = sec.cast("bigint")
+    rest = F.pmod(us, F.lit(DAY_US))
+    sec = _div(rest, 1_000_000)
     return F.concat(
-        F.date_from_unix_date(days).cast("string"),
-        F.format_string(
-            "T%02d:%02d:%02d.%06dZ",
-            ((sec - sec % 3600) / 3600).cast("int"),
-            ((sec % 3600 - sec % 60) / 60).cast("int"),
-            (sec % 60).cast("int"),
-            (rest % 1_000_000).cast("int"),
-        ),
+        F.date_from_unix_date(_div(us - rest, DAY_US).cast("int")).cast("string"),
+        F.format_string("T%02d:%02d:%02d.%06dZ", _div(sec, 3600), _div(sec % 3600, 60), sec % 60, rest % 1_000_000),
     )

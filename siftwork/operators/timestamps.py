@@ -22,7 +22,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.functions.calendar import DAY_US, checked_days, is_leap, utc_text
+from siftwork.functions.calendar import DAY_US, bind, checked_days, is_leap, utc_text
 
 # Usual offsets of zone abbreviations, in minutes.
 ZONE_MINUTES = {
@@ -86,19 +86,19 @@ def normalise(df: DataFrame, value: str, zone: str, out: str = "ts_us") -> DataF
     """
     pattern, parts = compiled()
     keep = [F.col(f"`{k}`") for k in df.columns if k != out]
-    bind = lambda d, **cols: d.select("*", F.inline(F.array(F.struct(*[v.alias(f"__{k}") for k, v in cols.items()]))))
+    bound = lambda d, **cols: bind(d, **{f"__{k}": v for k, v in cols.items()})
     c = lambda name: F.col(f"__{name}")
     t = lambda name: F.col(f"__t{PARTS.index(name)}")
     clean = F.translate(F.regexp_replace(F.col(value), r"(?U)\A\s+|\s+\z", ""), "−‐‑–’", "----'")
-    d = bind(df, a=F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(parts)), "\u0001"))
-    d = bind(d, **{f"t{i}": F.when(F.size(c("a")) == len(PARTS), F.get(c("a"), F.lit(i))) for i in range(len(PARTS))})
+    d = bound(df, a=F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(parts)), "\u0001"))
+    d = bound(d, **{f"t{i}": F.when(F.size(c("a")) == len(PARTS), F.get(c("a"), F.lit(i))) for i in range(len(PARTS))})
 
     h0, pm = F.coalesce(_num(t("h")), F.lit(0)), F.lower(t("P"))
     digits = F.regexp_replace(t("z"), "[^0-9]", "")
     by_name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(t("N"), 1, 3)))
     zones, table = _zones(), F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv])
     is_region = t("z").contains("/")
-    d = bind(
+    d = bound(
         d,
         y=_num(t("Y")),
         mo=F.when(t("N") != "", by_name).otherwise(_num(t("M"))),
@@ -119,7 +119,7 @@ def normalise(df: DataFrame, value: str, zone: str, out: str = "ts_us") -> DataF
     in_year = (c("jd") >= 1) & (c("jd") <= F.when(is_leap(c("y")), 366).otherwise(365))
     of_year = F.when(in_year, checked_days(c("y"), F.lit(1), F.lit(1)) + c("jd") - 1)
     signed = F.when((c("oh") <= 18) & (c("om") <= 59), (c("oh") * 60 + c("om")) * F.when(t("z").startswith("-"), -1).otherwise(1))
-    d = bind(
+    d = bound(
         d,
         days=F.when(t("J") != "", of_year).otherwise(checked_days(c("y"), c("mo"), c("da"))),
         clock=F.when((c("ho") <= 23) & (c("mi") <= 59) & (c("se") <= 59), (c("ho") * 3600 + c("mi") * 60 + c("se")) * 1_000_000 + c("us")),
