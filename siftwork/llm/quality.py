@@ -217,8 +217,8 @@ def document_stats(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return _frame([(key[0], *derived(finished(merged(rows))))], out)
 
     at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    large = own.where(F.length("text") > chunk).dropDuplicates(["doc_id"]).select("doc_id", F.explode(at).cast("bigint").alias("part"), "text")
-    large = large.select("doc_id", "part", F.substring(F.col("text"), F.col("part").cast("int") * chunk + 1, F.lit(chunk)).alias("text"))
+    large = own.where(F.length("text") > chunk).dropDuplicates(["doc_id"]).select("doc_id", F.explode(at).alias("part"), "text")
+    large = large.select("doc_id", F.col("part").cast("bigint").alias("part"), F.substring(F.col("text"), F.col("part") * chunk + 1, F.lit(chunk)).alias("text"))
     states = large.mapInPandas(partial, _STATE)
     states = states.groupBy("doc_id", F.floor(F.col("part") / FAN).cast("bigint").alias("part_")).applyInPandas(join, _STATE)
     return small.unionByName(states.groupBy("doc_id", F.lit(0)).applyInPandas(final, out))
