@@ -221,7 +221,7 @@ def document_stats(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     large = large.select("doc_id", F.col("part").cast("bigint").alias("part"), F.substring(F.col("text"), F.col("part") * chunk + 1, F.lit(chunk)).alias("text"))
     states = large.mapInPandas(partial, _STATE)
     states = states.groupBy("doc_id", F.floor(F.col("part") / FAN).cast("bigint").alias("part_")).applyInPandas(join, _STATE)
-    return small.unionByName(states.groupBy("doc_id", F.lit(0)).applyInPandas(final, out))
+    return small.unionByName(states.groupBy("doc_id").applyInPandas(final, out))
 
 
 def found(documents: DataFrame) -> DataFrame:
