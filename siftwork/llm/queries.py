@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import leaks, quality, tokenizer
+from siftwork.llm import language, leaks, pieces, quality, tokenizer
 from siftwork.plans.tables import table
 
 
@@ -24,7 +24,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_stats, p6_ids, p7_found)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.found(table(spark, sf_dir, "file_bodies"), table(spark, sf_dir, "chunk_limits"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf_dir, "file_bodies"), table(spark, sf_dir, "chunk_limits")).dropDuplicates(["item_id", "piece_no"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.found(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_stats, p4_found, p4_pieces, p6_ids, p7_found, p8_found)}
 
 
 def queries() -> dict:
