@@ -56,9 +56,9 @@ def _cells(df: DataFrame, tbl: str, spec: list[Row], columns: list[str], codes:
     return df.select("feed_no", "load_no", F.inline(F.array(*cells)))
 
 
-def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict, keep=lambda r: True) -> DataFrame:
+def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict) -> DataFrame:
     """code, feed_no, load_no, lv, dv, sv, n: how often each value occurs in each column of each load."""
-    parts = [_cells(df, t, spec, [r.column_name for r in spec if r.tbl == t and keep(r)], codes) for t, df in tables.items()]
+    parts = [_cells(df, t, spec, [r.column_name for r in spec if r.tbl == t], codes) for t, df in tables.items()]
     parts = [p for p in parts if p is not None]
     if not parts:
         df = next(iter(tables.values()))
@@ -68,6 +68,12 @@ def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict, kee
     return cells.groupBy("code", "feed_no", "load_no", "lv", "dv", "sv").agg(F.count(F.lit(1)).alias("n"))
 
 
+def only(counts: DataFrame, codes: list[int]) -> DataFrame:
+    """The counts of some columns. The filter refers to the aggregate, so it stays above it: all uses of the counts then
+    have the same exchange, which runs once."""
+    return counts.where(F.when(F.col("n") > 0, F.col("code")).isin(codes))
+
+
 def _number() -> Column:
     return F.coalesce(F.col("lv").cast("double"), F.when(~F.isnan("dv"), F.col("dv")))
 
@@ -109,13 +115,13 @@ def profile(counts: DataFrame, spec: list[Row], codes: dict) -> DataFrame:
 
 
 def _bucket(x: Column) -> Column:
-    """An integer that sorts as the double does: its exponent and 12 bits of its mantissa, negated for negatives."""
-    a = F.abs(x)
+    """An integer that sorts as the double does: its exponent and 5 bits of its mantissa, negated for negatives."""
+    a = F.least(F.abs(x), F.lit(1.7976931348623157e308))
     e0 = F.floor(F.log2(a)).cast("int")
     p0 = F.pow(F.lit(2.0), e0.cast("double"))
     e = F.when(p0 > a, e0 - 1).when(p0 * 2 <= a, e0 + 1).otherwise(e0)  # log2 may be off by one at a power of two
-    frac = F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * 4096).cast("bigint")
-    key = (e.cast("bigint") + 1100) * 4096 + frac
+    frac = F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * 32).cast("bigint")
+    key = (e.cast("bigint") + 1100) * 32 + frac
     return F.when(x == 0, F.lit(0).cast("bigint")).when(x < 0, -key).otherwise(key)
 
 
@@ -123,9 +129,9 @@ def order_statistics(counts: DataFrame, keys: list[str], value: str, n: str, ran
     """keys and, for each name in ranks, the value at that rank (counted from 0) of the sorted values of its group.
 
     ranks: expressions over ``total``, the size of the group. Radix selection: values are put into buckets by exponent and
-    the 12 leading bits of the mantissa, which sort as the values do. One pass counts the buckets and finds that of each
+    the 5 leading bits of the mantissa, which sort as the values do. One pass counts the buckets and finds that of each
     rank and how many values lie before it; only the distinct values inside those buckets, which agree within one part in
-    4096, are then put in order. Both passes combine before their shuffle, and no task ever holds or sorts the values of
+    32, are then put in order. Both passes combine before their shuffle, and no task ever holds or sorts the values of
     a whole group.
     """
     data = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(n).alias("n")).withColumn("hi", _bucket(F.col("x")))
@@ -182,9 +188,11 @@ def profiles(tables: dict[str, DataFrame], column_spec: DataFrame) -> DataFrame:
     spec = declared(column_spec)
     codes = {(r.tbl, r.column_name): i for i, r in enumerate(spec)}
     key = ["code", "feed_no", "load_no"]
-    base = profile(value_counts(tables, spec, codes), spec, codes)
-    numbers = quartiles(value_counts(tables, spec, codes, lambda r: r.value_kind == "number"))
-    shifts = share_shift(value_counts(tables, spec, codes, lambda r: r.value_kind == "category"))
+    counts = value_counts(tables, spec, codes)
+    of = lambda kind: [codes[r.tbl, r.column_name] for r in spec if r.value_kind == kind]
+    base = profile(counts, spec, codes)
+    numbers = quartiles(only(counts, of("number")))
+    shifts = share_shift(only(counts, of("category")))
     full = base.join(numbers, key, "left").join(shifts, key, "left")
     loads = W.partitionBy("code", "feed_no").orderBy("load_no")  # one row a load: profiles, not data
     follows = F.lag("load_no").over(loads) == F.col("load_no") - 1
