@@ -5,8 +5,8 @@ bit a binary logistic classifier over hashed character n-grams predicts which si
 loss of each bit: the language whose codeword costs least wins, and a small lead over the second flags ambiguity.
 
 The classifiers are trained on a bounded sample of labelled rows (`SAMPLE` documents a language, chosen by a hash of their
-id). Labels are partly wrong and documents partly mixed, so sentences that contradict their label after a first fit are
-left out of the second. Classification reads every sentence of every document.
+id). Labels are partly wrong and documents partly mixed, so a sentence is learned from only if no other language has more
+common words in it than the one its label names (`agrees`). Classification reads every sentence of every document.
 
 Defined cases: null, empty and blank texts, lists, tables and junk have no segment; nor have sentences of fewer than
 `LEAST` letters once identifiers and numbers are taken out, which belong to the stretch around them; a label is compared
@@ -29,11 +29,11 @@ from siftwork.llm import lines as L
 from siftwork.llm.quality import verdict
 
 #: Labelled documents a language that are sampled for training, their longest text, and sentences taken of each.
-SAMPLE, SAMPLE_CHARS, SAMPLE_SENTENCES = 160, 20_000, 8
+SAMPLE, SAMPLE_CHARS, SAMPLE_SENTENCES = 160, 20_000, 5
 #: Buckets of hashed n-grams, their lengths, and passes over the sample.
-BUCKETS, GRAMS, EPOCHS = 1 << 15, (1, 2, 3, 4), 3
-#: Letters that a sentence needs to be judged on its own; loss that a change of language costs.
-LEAST, SWITCH = 8, 1.0
+BUCKETS, GRAMS, EPOCHS = 1 << 15, (1, 2, 3, 4), 2
+#: Letters that a sentence needs to be judged on its own, and to be judged in full; loss that a change of language costs.
+LEAST, FULL, SWITCH = 8, 30, 4.0
 
 # Codes and names of the languages.
 LANGUAGES = {
@@ -186,7 +186,7 @@ def train(documents: DataFrame) -> Model:
         kind, ss = sentences(r.text)
         if kind != "prose":
             continue
-        clean = [c for c in map(_clean, ss) if len(c) >= LEAST]
+        clean = [c for c in map(_clean, ss) if len(c) >= LEAST and agrees(c, r.code)]
         for c in clean[:: max(1, len(clean) // SAMPLE_SENTENCES)][:SAMPLE_SENTENCES]:
             parts.append(c)
             labels.append(CODES.index(r.code))
@@ -194,25 +194,39 @@ def train(documents: DataFrame) -> Model:
         for k in range(4):
             parts.append(" ".join(seed.split()[k::4]) if " " in seed else seed[k::2])
             labels.append(CODES.index(c))
-    y = np.array(labels)
-    model.fit(parts, y, 1)
-    guess = model.losses(model.bits(parts)).argmin(axis=1)
-    keep = np.flatnonzero(guess == y)
-    model.fit([parts[k] for k in keep], y[keep])
+    model.fit(parts, np.array(labels))
     return model
 
 
+_COMMON = {c: frozenset(ws.split()) for c, ws in L.COMMON.items()}
+
+
+def agrees(clean: str, code: str) -> bool:
+    """Whether a cleaned sentence may be in the language: by its script, and as no other has more common words in it."""
+    letters = clean.replace(" ", "")
+    chinese = sum(1 for c in letters if ord(c) > 0x2E80)
+    if code == "zh" or chinese * 3 > len(letters):
+        return code == "zh" and chinese * 3 > len(letters)
+    if (code == "ru") != (sum(1 for c in letters if "\u0400" <= c < "\u0530") * 2 > len(letters)):
+        return False
+    ws = clean.split()
+    score = {c: sum(w in common for w in ws) for c, common in _COMMON.items()}
+    return code == "ru" or score[code] > 0 and score[code] == max(score.values()) and sum(v == score[code] for v in score.values()) == 1
+
+
 def stretches(model: Model, ss: list[str]) -> list[tuple[str, float, bool, int, int]]:
     """Language, confidence, ambiguity, first and last sentence of each stretch.
 
     The path through the sentences that costs least, where each costs the loss of its language and each change SWITCH.
-    Sentences too short to be judged cost nothing.
+    Sentences too short to be judged cost nothing, those of fewer than FULL letters in proportion.
     """
     clean = [_clean(s) for s in ss]
     judged = [k for k, c in enumerate(clean) if len(c) >= LEAST or len(c) >= 4 and any(ord(x) > 0x3000 for x in c)]
     if not judged:
         return []
     loss = model.losses(model.bits([clean[k] for k in judged]))
+    size = np.array([len(clean[k]) * (4 if any(ord(x) > 0x3000 for x in clean[k]) else 1) for k in judged])
+    loss = loss * np.minimum(1.0, size / FULL)[:, None]
     n, m = loss.shape
     cost, back = loss[0].copy(), np.zeros((n, m), dtype=np.int64)
     for k in range(1, n):
