@@ -45,11 +45,11 @@ def normal_token(t: Column) -> Column:
 def ngrams(tok: Column, low: int, high: int) -> Column:
     """All runs of low to high tokens, joined by a blank."""
     n = F.size(tok)
-    runs = [
-        F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.array_join(F.slice(tok, i, k), " "))).otherwise(F.array().cast("array<string>"))
-        for k in range(low, high + 1)
-    ]
-    return F.flatten(F.array(*runs))
+
+    def runs(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(tok, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[runs(k) for k in range(low, high + 1)]))
 
 
 def placeholder(kind: str, i: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from siftwork.plans import core_problems
+from siftwork.plans import core_problems, reference_queries
 
 
 def queries() -> dict:
-    return {**core_problems.QUERIES}
+    return {**core_problems.QUERIES, **reference_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference_queries.SQL)
