@@ -56,9 +56,12 @@ def _cells(df: DataFrame, tbl: str, spec: list[Row], columns: list[str], codes:
     return df.select("feed_no", "load_no", F.inline(F.array(*cells)))
 
 
-def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict) -> DataFrame:
-    """code, feed_no, load_no, lv, dv, sv, n: how often each value occurs in each column of each load."""
-    parts = [_cells(df, t, spec, [r.column_name for r in spec if r.tbl == t], codes) for t, df in tables.items()]
+def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict, keep=lambda r: True) -> DataFrame:
+    """code, feed_no, load_no, lv, dv, sv, n: how often each value occurs in each kept column of each load.
+
+    Only the kept columns are read; that is cheaper than sharing one set of counts, as the filters of its users differ.
+    """
+    parts = [_cells(df, t, spec, [r.column_name for r in spec if r.tbl == t and keep(r)], codes) for t, df in tables.items()]
     parts = [p for p in parts if p is not None]
     if not parts:
         df = next(iter(tables.values()))
@@ -68,12 +71,6 @@ def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict) ->
     return cells.groupBy("code", "feed_no", "load_no", "lv", "dv", "sv").agg(F.count(F.lit(1)).alias("n"))
 
 
-def only(counts: DataFrame, codes: list[int]) -> DataFrame:
-    """The counts of some columns. The filter refers to the aggregate, so it stays above it: all uses of the counts then
-    have the same exchange, which runs once."""
-    return counts.where(F.when(F.col("n") > 0, F.col("code")).isin(codes))
-
-
 def _number() -> Column:
     return F.coalesce(F.col("lv").cast("double"), F.when(~F.isnan("dv"), F.col("dv")))
 
@@ -188,11 +185,9 @@ def profiles(tables: dict[str, DataFrame], column_spec: DataFrame) -> DataFrame:
     spec = declared(column_spec)
     codes = {(r.tbl, r.column_name): i for i, r in enumerate(spec)}
     key = ["code", "feed_no", "load_no"]
-    counts = value_counts(tables, spec, codes)
-    of = lambda kind: [codes[r.tbl, r.column_name] for r in spec if r.value_kind == kind]
-    base = profile(counts, spec, codes)
-    numbers = quartiles(only(counts, of("number")))
-    shifts = share_shift(only(counts, of("category")))
+    base = profile(value_counts(tables, spec, codes), spec, codes)
+    numbers = quartiles(value_counts(tables, spec, codes, lambda r: r.value_kind == "number"))
+    shifts = share_shift(value_counts(tables, spec, codes, lambda r: r.value_kind == "category"))
     full = base.join(numbers, key, "left").join(shifts, key, "left")
     loads = W.partitionBy("code", "feed_no").orderBy("load_no")  # one row a load: profiles, not data
     follows = F.lag("load_no").over(loads) == F.col("load_no") - 1
