@@ -9,7 +9,8 @@ id). Labels are partly wrong and documents partly mixed, so a sentence is learne
 common words in it than the one its label names (`agrees`). Classification reads every sentence of every document.
 
 Defined cases: null, empty and blank texts, lists, tables and junk have no segment; nor have sentences of fewer than
-`LEAST` letters once identifiers and numbers are taken out, which belong to the stretch around them; a label is compared
+`LEAST` letters once identifiers and numbers are taken out, or scraps of fewer than five words without an end, which
+belong to the stretch around them; a label is compared
 by the language it names, whatever code or name it uses; repeats of a row count once.
 """
 
@@ -73,6 +74,7 @@ def codewords(n: int) -> np.ndarray:
 _STOP = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«(\[¿¡]*\S)|(?<=[。！？])[\"'”’»」)\]]*")
 _DROP = re.compile(r"\S*[_\d/\\@=<>{}|]\S*")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_CJK = re.compile(f"[{L.CJK}]")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+|[A-Za-z]*\d[A-Za-z0-9.,:%]*")
 
@@ -221,11 +223,13 @@ def stretches(model: Model, ss: list[str]) -> list[tuple[str, float, bool, int,
     Sentences too short to be judged cost nothing, those of fewer than FULL letters in proportion.
     """
     clean = [_clean(s) for s in ss]
-    judged = [k for k, c in enumerate(clean) if len(c) >= LEAST or len(c) >= 4 and any(ord(x) > 0x3000 for x in c)]
+    chinese = [len(_CJK.findall(c)) for c in clean]
+    whole = [bool(L._END.search(s.strip())) or len(s.split()) >= 5 or n >= 6 for s, n in zip(ss, chinese)]
+    judged = [k for k, c in enumerate(clean) if whole[k] and (len(c) >= LEAST or chinese[k] >= 4)]
     if not judged:
         return []
     loss = model.losses(model.bits([clean[k] for k in judged]))
-    size = np.array([len(clean[k]) * (4 if any(ord(x) > 0x3000 for x in clean[k]) else 1) for k in judged])
+    size = np.array([len(clean[k]) + 3 * chinese[k] for k in judged])
     loss = loss * np.minimum(1.0, size / FULL)[:, None]
     n, m = loss.shape
     cost, back = loss[0].copy(), np.zeros((n, m), dtype=np.int64)
