@@ -48,7 +48,7 @@ def byte_offsets(text: str) -> np.ndarray:
 def atoms(text: str, at: np.ndarray, limit: int, overlap: int) -> tuple[list[int], list[int]]:
     """Starts of the atomic segments, and the strength of the boundary in front of each."""
     room = limit - overlap
-    fine = max(64, room // 8)
+    fine = min(room, max(64, room // 8))
     starts, strengths = [0], [PARAGRAPH]
     todo = [(0, len(text), PARAGRAPH, PARAGRAPH)]  # begin, end, boundary in front, next level
     found: list[tuple[int, int]] = []

@@ -52,8 +52,12 @@ class Automaton:
         self.made = [-1] * size  # token -> rank of its merge, -1 for bytes
         self.left = [-1] * size
         self.parent, self.cut, self.born = [-1], [-1], [-1]  # by state
+        self._arcs: dict[tuple[int, int], bool] = {}
+        self._bytes = {i for b, i in vocabulary.items() if len(b) == 1}
         for rank, (a, b) in enumerate(merges):
             x, y, xy = vocabulary[a], vocabulary[b], vocabulary[a + b]
+            if not (self._reaches(x) and self._reaches(y) and self.has_arc(self.target[x], y)):
+                continue  # earlier merges leave no such pair
             self.parent.append(self.target[x])
             self.cut.append(y)
             self.born.append(rank)
@@ -61,7 +65,6 @@ class Automaton:
                 self.made[xy], self.left[xy] = rank, x
             self.target[xy] = self.target[y]  # before the next line: in a run of a's, a third one may follow aa
             self.target[x] = len(self.parent) - 1
-        self._arcs: dict[tuple[int, int], bool] = {}
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the finished automaton has this arc."""
@@ -112,13 +115,6 @@ class Automaton:
     def _reaches(self, token: int) -> bool:
         return self.made[token] >= 0 or token in self._bytes
 
-    @property
-    def _bytes(self) -> set[int]:
-        got = self.__dict__.get("_byte_ids")
-        if got is None:
-            got = self.__dict__["_byte_ids"] = {i for b, i in self.ids.items() if len(b) == 1}
-        return got
-
 
 def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
     """Ids of the byte strings, and the merges in order, of a byte-level vocabulary file."""
