@@ -71,6 +71,17 @@ def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict, kee
     return cells.groupBy("code", "feed_no", "load_no", "lv", "dv", "sv").agg(F.count(F.lit(1)).alias("n"))
 
 
+def number_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict) -> DataFrame:
+    """code, feed_no, load_no, x, n of the numbers in columns of kind number; NaN and rows without load are left out."""
+    cells = [_cells(df, t, spec, [r.column_name for r in spec if r.tbl == t and r.value_kind == "number"], codes) for t, df in tables.items()]
+    cells = [c for c in cells if c is not None]
+    if not cells:
+        df = next(iter(tables.values()))
+        return df.sparkSession.createDataFrame([], "code int, feed_no int, load_no int, x double, n bigint")
+    own = reduce(DataFrame.unionByName, cells).select("code", "feed_no", "load_no", _number().alias("x")).where("x is not null and feed_no is not null and load_no is not null")
+    return own.groupBy("code", "feed_no", "load_no", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _number() -> Column:
     return F.coalesce(F.col("lv").cast("double"), F.when(~F.isnan("dv"), F.col("dv")))
 
@@ -131,14 +142,24 @@ def order_statistics(counts: DataFrame, keys: list[str], value: str, n: str, ran
     32, are then put in order. Both passes combine before their shuffle, and no task ever holds or sorts the values of
     a whole group.
     """
-    data = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(n).alias("n")).withColumn("hi", _bucket(F.col("x")))
-    group = W.partitionBy(*keys)
+    # coalesce keeps the optimiser from testing the bucket for null, and so from computing it, for every raw value
+    data = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(n).alias("n")).withColumn("hi", F.coalesce(_bucket(F.col("x")), F.lit(0)))
     first = data.groupBy(*keys, "hi").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(group.orderBy("hi").rowsBetween(W.unboundedPreceding, -1))
-    first = first.withColumns({"before": F.coalesce(before, F.lit(0)), "total": F.sum("n").over(group)})
-    wanted = F.array(*[F.struct(F.lit(name).alias("stat"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
-    first = first.withColumn("w", F.filter(wanted, lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n"))))
-    hit = first.where(F.size("w") > 0).select(*keys, "hi", F.transform("w", lambda w: F.struct(w["stat"].alias("stat"), (w["rank"] - F.col("before")).alias("rank"))).alias("w"))
+    # a group's buckets are bounded in number, whatever its size: they fit an array
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hi", "n"))).alias("h"))
+    first = first.select(*keys, "h", F.aggregate("h", F.lit(0).cast("bigint"), lambda a, b: a + b["n"]).alias("total"))
+
+    def place(rank: Column) -> Column:
+        """Bucket of a rank, and the rank inside it."""
+        start = F.struct(rank.cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("hi"))
+
+        def step(acc: Column, b: Column) -> Column:
+            return F.when(acc["hi"].isNotNull(), acc).when(acc["rank"] < b["n"], F.struct(acc["rank"].alias("rank"), b["hi"].alias("hi"))).otherwise(F.struct((acc["rank"] - b["n"]).alias("rank"), F.lit(None).cast("bigint").alias("hi")))
+
+        return F.aggregate("h", start, step)
+
+    placed = F.array(*[F.struct(F.lit(name).alias("stat"), place(rank).alias("at")) for name, rank in ranks.items()])
+    hit = first.select(*keys, F.inline(placed)).where("at.hi is not null").groupBy(*keys, F.col("at.hi").alias("hi")).agg(F.collect_list(F.struct("stat", F.col("at.rank").alias("rank"))).alias("w"))  # an entry a rank
 
     inside = data.join(hit, [*keys, "hi"])
     fine = W.partitionBy(*keys, "hi")
@@ -151,7 +172,7 @@ def quartiles(counts: DataFrame) -> DataFrame:
     """Median (mean of the middle two) and interquartile range v[3n/4] - v[n/4] of the numbers of each column and load."""
     total = F.col("total")
     ranks = {"m0": F.floor((total - 1) / 2), "m1": F.floor(total / 2), "q1": F.floor(total / 4), "q3": F.floor(3 * total / 4)}
-    got = order_statistics(counts.withColumn("x", _number()), ["code", "feed_no", "load_no"], "x", "n", ranks)
+    got = order_statistics(counts, ["code", "feed_no", "load_no"], "x", "n", ranks)
     return got.select("code", "feed_no", "load_no", ((F.col("m0") + F.col("m1")) / 2).alias("median_value"), (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
@@ -186,7 +207,7 @@ def profiles(tables: dict[str, DataFrame], column_spec: DataFrame) -> DataFrame:
     codes = {(r.tbl, r.column_name): i for i, r in enumerate(spec)}
     key = ["code", "feed_no", "load_no"]
     base = profile(value_counts(tables, spec, codes), spec, codes)
-    numbers = quartiles(value_counts(tables, spec, codes, lambda r: r.value_kind == "number"))
+    numbers = quartiles(number_counts(tables, spec, codes))
     shifts = share_shift(value_counts(tables, spec, codes, lambda r: r.value_kind == "category"))
     full = base.join(numbers, key, "left").join(shifts, key, "left")
     loads = W.partitionBy("code", "feed_no").orderBy("load_no")  # one row a load: profiles, not data
