@@ -28,6 +28,7 @@ _HEX = re.compile(r"^\s*(?:0x)?[0-9a-fA-F]{4,16}:?\s+(?:[0-9a-fA-F]{2,8}(?:\s+|$
 _SETTING = re.compile(r"^\s*[\w.\-]+\s*[=:]\s*\S+(?:\s\S+){0,3}$")
 _PATH = re.compile(r"^\s*(?:[a-zA-Z]:)?[\w.\-~]*(?:[/\\][\w.\-]+){2,}/?$")
 _BLOB = re.compile(r"^[A-Za-z0-9+/=_\-]{24,}$")
+_SCRAP = re.compile(r"^(?=.*[+=/\d])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]{8,}={0,2}$|^[A-Za-z0-9+/]{2,}==?$")
 _WORD = re.compile(rf"[{CJK}]|[^\W_]+(?:[_'’\-][^\W_]+)*")
 _END = re.compile(r"""\w["'”’»)\]%]*[.!?…]["'”’»)\]*_]*$|[。！？]["'”’»」)\]*_]*$""")
 _STOP = re.compile(r"""[^\W_]["'”’»)\]%]*[.!?]["'”’»)\]]*(?=\s|$)|[。！？]""")
@@ -66,7 +67,7 @@ def line_kind(raw: str) -> str:
         return HEADING if heading else ENTRY
     n = len(body.split())
     cells = _cells(s)
-    if n == 1 and (_BLOB.match(body) and not body.islower() or len(set(body)) <= 4 < len(body) / 3 or len(body) > 60 and not _cjk(body)):
+    if n == 1 and (_SCRAP.match(body) or _BLOB.match(body) and not body.islower() or len(set(body)) <= 4 < len(body) / 3 or len(body) > 60 and not _cjk(body)):
         return NOISE
     odd = len(_ODD.findall(body))
     if odd * 5 > len(body.replace(" ", "")):

@@ -150,7 +150,7 @@ def verdict(c: dict[str, int]) -> str | None:
     n = c["lines"]
     if n == 0:
         return None
-    if c["sentence"] == 0 and (c["noise"] * 2 > n or c["noise"] and not c["entry"] + c["row"]):
+    if c["sentence"] == 0 and (c["noise"] * 2 >= n and c["noise"] or c["noise"] and not c["entry"] + c["row"]):
         return "junk"
     if (c["row"] + c["ruling"]) * 2 > n and c["row"]:
         return "table"
