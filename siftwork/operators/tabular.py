@@ -97,7 +97,8 @@ def simple_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
     v, n = F.col("value"), F.col("n")
     null = T.is_null_like(v)
     some = lambda cond, x=n: F.sum(F.when(cond, x))
-    secs = F.coalesce(T.unix_seconds(v), T.date_seconds(v))
+    dated = v.rlike(r"\d[-/:]\d|[A-Za-z]{3}\s+\d")  # parsing is dear, so only what may be a date is parsed
+    secs = F.coalesce(T.unix_seconds(v), F.when(dated, T.date_seconds(v)))
     return counts.withColumns({"__secs": secs, "__null": null}).groupBy(*keys).agg(
         F.sum("n").alias("row_count"),
         (100.0 * F.coalesce(some(F.col("__null")), F.lit(0)) / F.sum("n")).alias("null_percentage"),

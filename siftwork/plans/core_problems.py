@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwork.operators import loglines, quality, timestamps
-from siftwork.plans.tables import table
+from siftwork.plans.tables import spread, table
 
 PROFILED = ("order_items", "test_types")
 
@@ -21,7 +21,7 @@ def p1_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loglines.entries(table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "outputs"))
+    return loglines.entries(spread(table(spark, sf_dir, "log_lines").select("file_id", "line_no", "raw_line")), table(spark, sf_dir, "outputs"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from siftwork.operators import mining as M
 from siftwork.operators import paths as P
 from siftwork.operators import tabular as B
 from siftwork.operators.quality import order_statistics
-from siftwork.plans.tables import table
+from siftwork.plans.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -360,7 +360,7 @@ def t2_top_pivots_log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct()
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).distinct()
 
 
 @query()
