@@ -37,6 +37,8 @@ _CELL = re.compile(r"[,;](?=\S)")
 _TIGHT = re.compile(r"[^\s,;](?:[,;](?:\"[^\"]*\"|[^\s,;\"]*(?: [^\s,;\"]+)*))+")
 _NUMBER = re.compile(r"(?<![^\s,;\"])\d[\d.:\-]*(?![^\s,;\"])")
 _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœаеёиоуыэюя]")
+#: Five consonants in a row, in Latin letters.
+_MASH = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
 _ODD = re.compile(r"[¡-©«-´¶-¸»-¿×÷�†-‧€‚„ÂÃÐÑâ]")
 
 SENTENCE, ENTRY, ROW, RULING, NOISE, HEADING, OTHER = "sentence entry row ruling noise heading other".split()
@@ -81,10 +83,11 @@ def line_kind(raw: str) -> str:
             return NOISE
         if len(ws) >= 6 and len(set(lowered)) * 4 <= len(ws):
             return NOISE
-        words = [w for w in lowered if not w.isdigit() and "_" not in w]
-        bare = sum(1 for w in words if len(w) > 2 and not _VOWEL.search(w) or _mashed(w))
-        if words and bare * 3 >= len(words) and cells < 3:
-            return NOISE
+        if sum(map(COMMON_WORDS.__contains__, lowered)) * 8 < len(ws) and cells < 3:  # else it is made of words
+            words = [w for w in lowered if not w.isdigit() and "_" not in w]
+            bare = sum(1 for w in words if len(w) > 2 and not _VOWEL.search(w) or _MASH.search(w))
+            if words and bare * 3 >= len(words):
+                return NOISE
     if cells >= 2 and not (_END.search(body) and n >= 8):
         return ROW
     common = cjk >= 4 or any(w.lower() in COMMON_WORDS for w in ws)
@@ -113,11 +116,6 @@ def _cjk(s: str) -> int:
     return 0 if s.isascii() else len(re.findall(rf"[{CJK}]", s))
 
 
-def _mashed(w: str) -> bool:
-    """Five consonants in a row, in Latin letters."""
-    return bool(re.search(r"[bcdfghjklmnpqrstvwxz]{5}", w))
-
-
 def _cells(s: str) -> int:
     """Cells of a line, by gaps, tabs or tight separators: 1 where it has none."""
     gaps = len(_GAP.findall(s.strip()))

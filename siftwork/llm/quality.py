@@ -55,7 +55,7 @@ def _count(paragraph: str, c: dict[str, int], vocabulary: set[int]) -> None:
     ws = [w.lower() for w in _TOKEN.findall(paragraph)]
     c["words"] += len(ws)
     c["word_chars"] += sum(map(len, ws))
-    c["common"] += sum(1 for w in ws if w in L.COMMON_WORDS)
+    c["common"] += sum(map(L.COMMON_WORDS.__contains__, ws))
     c["symbols"] += len(_SYMBOL.findall(paragraph))
     c["chars"] += sum(map(len, paragraph.split()))
     ends = _SENTENCE.findall(paragraph)
@@ -64,13 +64,22 @@ def _count(paragraph: str, c: dict[str, int], vocabulary: set[int]) -> None:
     c["periods"] += sum(1 for x in ends if x in ".。")
     c["marks"] += len(ends)
     c["sentence_words"] += len(ws)
-    vocabulary.update(map(hash_word, ws))
+    vocabulary.update(map(_hashes.__getitem__, set(ws)))
 
 
-def hash_word(w: str) -> int:
-    import xxhash
+class _Hashes(dict):
+    """63-bit hash of each word, kept for the words seen last."""
 
-    return xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+        return h
+
+
+_hashes = _Hashes()
 
 
 def chunk_state(text: str) -> State:
