@@ -250,3 +250,39 @@ def delimiter_vote(files: DataFrame, key: str, text: str) -> DataFrame:
     marks = (",", ";", "\t", "|", ":")
     counted: list[Column] = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(m), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(marks)]
     return files.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.array_max(F.array(*counted))["m"].alias("delimiter"))
+
+
+def position_examples(patterns: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """key, pattern, placeholder, example_no, example for patterns of placeholders only: the first distinct tokens at each
+    position, in the order of the sentences. patterns: key, pattern, sent_no, tokens."""
+    limit = max(config.max_examples_per_placeholder // 2, config.min_examples_per_placeholder)
+    each = patterns.select("key", "pattern", "sent_no", F.posexplode("tokens").alias("pos", "example"))
+    seen = each.groupBy("key", "pattern", "pos", "example").agg(F.min("sent_no").alias("sent_no"))
+    k = F.row_number().over(W.partitionBy("key", "pattern", "pos").orderBy("sent_no", "example"))
+    seen = seen.withColumn("example_no", k).where(F.col("example_no") <= limit)
+    return seen.select("key", "pattern", F.format_string("WORD_%02d", F.col("pos")).alias("placeholder"), "example_no", "example")
+
+
+def structural_patterns(sentences: DataFrame, key: str, order: str, tokens: str, config: Config = DEFAULT) -> DataFrame:
+    """key, pattern, n: sentences with pivots kept and other words numbered in sequence."""
+    own = sentences.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(tokens).alias("tok"))
+    each = own.select("key", "ord", F.posexplode("tok").alias("pos", "token")).withColumn("word", X.normal_token(F.col("token")))
+    hit = pivots(own, "key", "tok", config).select("key", "pos", "word", F.lit(True).alias("pivot"))
+    marked = each.join(hit, ["key", "pos", "word"], "left").groupBy("key", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "pivot"))).alias("parts"))  # the words of one sentence
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("o"))
+
+    def step(acc: Column, p: Column) -> Column:
+        kept = F.struct(acc["k"].alias("k"), F.concat(acc["o"], F.array(p["token"])).alias("o"))
+        open_ = F.struct((acc["k"] + 1).alias("k"), F.concat(acc["o"], F.array(X.placeholder("WORD", acc["k"]))).alias("o"))
+        return F.when(p["pivot"], kept).otherwise(open_)
+
+    shown = marked.select("key", F.array_join(F.aggregate("parts", start, step)["o"], " ").alias("pattern"))
+    return shown.groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sentence_structures(sentences: DataFrame, key: str, sentence: str, config: Config = DEFAULT) -> DataFrame:
+    """key, structure, n: number of words and end of the sentences, where they reach the threshold of their source."""
+    s = sentences.select(F.col(key).alias("key"), F.format_string("words=%d,end=%s", F.size(X.tokens(F.col(sentence))), X.end_type(F.col(sentence))).alias("structure"))
+    sizes = s.groupBy("key").agg(F.count(F.lit(1)).alias("n_sentences"))
+    got = s.groupBy("key", "structure").agg(F.count(F.lit(1)).alias("n"))
+    return got.join(sizes, "key").where(F.col("n") >= F.floor(F.col("n_sentences") * config.text_threshold)).drop("n_sentences")

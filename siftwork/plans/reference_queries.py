@@ -414,6 +414,27 @@ def f21_delimiters_file_bodies(spark: SparkSession, d: str) -> DataFrame:
     return M.delimiter_vote(table(spark, d, "file_bodies").select("item_id", "body").distinct(), "item_id", "body")
 
 
+@query()
+def x_structural_patterns_log_lines(spark: SparkSession, d: str) -> DataFrame:
+    return M.structural_patterns(_line_sentences(spark, d), "file_id", "line_no", "tok")
+
+
+@query()
+def x3_position_examples_documents(spark: SparkSession, d: str) -> DataFrame:
+    s = M.sentence_table(_texts(spark, d), "doc_id", "text").where(X.is_full_sentence(F.col("sentence")))
+    shape = F.array_join(F.transform("tokens", lambda t, i: X.placeholder("WORD", i)), " ")
+    return M.position_examples(s.withColumn("pattern", shape))
+
+
+_CHARLINES = f"""with l as (select file_id as key, {_TOKENS} as tok, raw_line as s from log_lines where raw_line is not null)"""
+
+
+@query(f"""{_CHARLINES}, g as (select key, 'words=' || len(tok) || ',end=' || case when suffix(rtrim(s), '?') then 'question' when suffix(rtrim(s), '!') then 'exclamation' else 'period' end as structure from l),
+ n as (select key, count(*) as total from g group by 1) select key, structure, count(*) as n from g join n using (key) group by key, structure, total having count(*) >= floor(total * 0.01)""")
+def a8_sentence_structures_log_lines(spark: SparkSession, d: str) -> DataFrame:
+    return M.sentence_structures(table(spark, d, "log_lines").where("raw_line is not null"), "file_id", "raw_line")
+
+
 # --- lookups and unions
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftwork.config import Config
 from siftwork.operators import paths as P
-from siftwork.sources import arrays, containers, documents, media, settings
+from siftwork.sources import arrays, containers, documents, media, settings, stores
 
 READERS = {
     "Zip": containers.zip_summary, "Archive": containers.tar_summary, "Docx": containers.docx_summary, "Xlsx": containers.xlsx_summary, "Pptx": containers.pptx_summary,
@@ -25,7 +25,7 @@ READERS = {
     "Npy": arrays.npy_summary, "Npz": arrays.npz_summary, "Mtx": arrays.mtx_summary, "Mat": arrays.mat_summary, "Hdf5": arrays.hdf5_summary, "NetCdf": arrays.netcdf_summary,
     "Pickle": arrays.pickle_summary, "Onnx": arrays.onnx_summary, "Gguf": arrays.gguf_summary, "SafeTensors": arrays.safetensors_summary, "TfLite": arrays.tflite_summary,
     "ArrowIpc": arrays.arrow_summary, "Parquet": arrays.parquet_summary, "Orc": arrays.orc_summary, "Avro": arrays.avro_summary,
-    "Image": media.image_summary, "Audio": media.probe_summary, "Video": media.probe_summary,
+    "Tetration": stores.tetration_summary, "Image": media.image_summary, "Audio": media.probe_summary, "Video": media.probe_summary,
 }
 
 SCANNED = "path string, file_type string, byte_count bigint, is_binary boolean, line_count bigint, token_count bigint, metadata string, failure string"

@@ -8,7 +8,6 @@ import re
 import shutil
 import struct
 import subprocess
-import tempfile
 import xml.etree.ElementTree as ET
 
 _PNG = {0: "grayscale", 2: "rgb", 3: "palette", 4: "grayscale+alpha", 6: "rgba"}
@@ -114,10 +113,7 @@ def probe_summary(d: bytes) -> dict:
     tool = shutil.which("ffprobe")
     if not tool:
         return {"stream_size": len(d), "note": "ffprobe isn't installed"}
-    with tempfile.NamedTemporaryFile() as f:
-        f.write(d)
-        f.flush()
-        told = json.loads(subprocess.run([tool, "-v", "quiet", "-of", "json", "-show_format", "-show_streams", f.name], capture_output=True, check=True, timeout=60).stdout)
+    told = json.loads(subprocess.run([tool, "-v", "quiet", "-of", "json", "-show_format", "-show_streams", "-i", "pipe:0"], input=d, capture_output=True, check=True, timeout=60).stdout)
     streams = told.get("streams", [])
     first = lambda kind: next((s for s in streams if s.get("codec_type") == kind), {})
     v, a = first("video"), first("audio")

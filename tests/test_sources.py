@@ -169,3 +169,40 @@ def test_markdown_and_html_tables(spark):
     assert {(r.pattern, r.template_count) for r in D.markdown_templates(df.where("t = 'Markdown'"), "k", "b").collect()} == {("[HEADER_01]", 1), ("[LIST_00]:ordered=false", 2)}
     assert [r.text for r in D.html_texts(df.where("k = 3"), "k", "b").collect()] == ["Hi you"]
     assert D.summaries(df, "k", "t", "b").count() == 2
+
+
+def test_array_stores(spark):
+    from siftwork.sources import stores
+
+    v2 = json.dumps({"shape": [4, 6], "chunks": [2, 3], "dtype": "<f8"}).encode()
+    v3 = json.dumps({"node_type": "array", "shape": [5], "data_type": "int32", "chunk_grid": {"configuration": {"chunk_shape": [5]}}}).encode()
+    rows = [("/d/s.zarr/a/.zarray", v2, 30), ("/d/s.zarr/a/0.0", b"x", 12), ("/d/t.zarr/zarr.json", v3, 9), ("/d/t.zarr/g/zarr.json", b'{"node_type": "group"}', 5), ("/d/x.txt", b"", 7)]
+    df = spark.createDataFrame([(p, c, n) for p, c, n in rows], "path string, content binary, length long")
+    assert {r.root: r.byte_count for r in stores.store_sizes(df).collect()} == {"/d/s.zarr": 42, "/d/t.zarr": 14}
+    assert {(r.root, r.array, tuple(r.shape), r.dtype, tuple(r.chunks)) for r in stores.store_arrays(df).collect()} == {("/d/s.zarr", "a", (4, 6), "<f8", (2, 3)), ("/d/t.zarr", "", (5,), "int32", (5,))}
+
+
+def test_database_columns_are_profiled(spark, tmp_path):
+    from siftwork.operators import tabular
+    from siftwork.sources import stores
+
+    f = tmp_path / "p.db"
+    db = sqlite3.connect(f)
+    db.executescript("create table t(id integer, name text, ok int); insert into t values (5,'a',1),(7,null,0),(9,'b',1);")
+    db.close()
+    cells = stores.sqlite_cells(spark, str(f), ["t"])
+    counts = cells.groupBy("tbl", "col_idx", "col_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {r.col_name: r.type for r in tabular.inferred_types(counts, ["tbl", "col_name"]).collect()}
+    assert kinds == {"id": "number", "name": "string", "ok": "boolean"}
+    keys = spark.createDataFrame([("t", "id", "u.id")], "tbl string, name string, references string")
+    got = stores.foreign_keys(spark.createDataFrame([("t", "id"), ("t", "name")], "tbl string, name string"), keys).collect()
+    assert {r.name: r.is_foreign_key for r in got} == {"id": True, "name": False}
+
+
+def test_records_and_reading_order(spark):
+    from siftwork.sources import stores
+
+    assert stores.records_of('[["a","b"],[1,2]]') == ['{"a": 1, "b": 2}'] and stores.records_of('{"a":1}\n{"a":2}') == ['{"a":1}', '{"a":2}'] and stores.records_of("[]") == []
+    spine = spark.createDataFrame([("k", 0, "b"), ("k", 1, "gone"), ("k", 2, "a")], "book string, pos int, idref string")
+    manifest = spark.createDataFrame([("k", "a", "a.html"), ("k", "b", "b.html")], "book string, id string, href string")
+    assert [r.href for r in stores.spine_order(spine, manifest).collect()] == ["b.html", "a.html"]
