@@ -26,6 +26,15 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+def wall_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a time column; one without zone means UTC, whatever the session's zone is."""
+    c = F.col(f"`{column}`")
+    if dict(df.dtypes)[column] != "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp"))
+    clock = (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return F.unix_date(c.cast("date")).cast("bigint") * DAY_US + clock
+
+
 def is_leap(y: Column) -> Column:
     """True where the proleptic Gregorian year has 366 days."""
     return ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from siftwork.functions.calendar import DAY_US, bind, checked_days, utc_text
+from siftwork.functions.calendar import DAY_US, bind, checked_days, utc_text, wall_micros
 from siftwork.functions.logscan import header
 
 #: Lines of a file that form one block: what a single task holds of a file.
@@ -84,7 +84,7 @@ def entries(log_lines: DataFrame, outputs: DataFrame) -> DataFrame:
     over_blocks = W.partitionBy("file_id").orderBy("block")
     blocks = blocks.withColumn("owner", F.last("last_entry", ignorenulls=True).over(over_blocks.rowsBetween(W.unboundedPreceding, -1)))
     carried = blocks.where("owner is not null and lead_last is not null").groupBy("file_id", F.col("owner").alias("last_entry")).agg(F.max("lead_last").alias("carried"))
-    scanned = outputs.where("file_id is not null").groupBy("file_id").agg(F.max(F.unix_micros(F.col("scanned_at").cast("timestamp"))).alias("limit"))
+    scanned = outputs.where("file_id is not null").groupBy("file_id").agg(F.max(wall_micros(outputs, "scanned_at")).alias("limit"))
     blocks = blocks.where("last_entry is not null").join(carried, ["file_id", "last_entry"], "left").join(scanned, "file_id", "left")
     blocks = blocks.select("file_id", "block", "last_entry", "carried", "limit")
 

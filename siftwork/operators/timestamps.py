@@ -89,7 +89,7 @@ def normalise(df: DataFrame, value: str, zone: str, out: str = "ts_us") -> DataF
     bound = lambda d, **cols: bind(d, **{f"__{k}": v for k, v in cols.items()})
     c = lambda name: F.col(f"__{name}")
     t = lambda name: F.col(f"__t{PARTS.index(name)}")
-    clean = F.translate(F.regexp_replace(F.col(value), r"(?U)\A\s+|\s+\z", ""), "−‐‑–’", "----'")
+    clean = F.translate(F.regexp_replace(F.col(value), r"(?U)\A\s+|\s+\z", ""), "−‐‑–’\u00a0\u202f\u2009", "----'   ")
     d = bound(df, a=F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(parts)), "\u0001"))
     d = bound(d, **{f"t{i}": F.when(F.size(c("a")) == len(PARTS), F.get(c("a"), F.lit(i))) for i in range(len(PARTS))})
 

@@ -143,7 +143,7 @@ def quoted(name: str) -> str:
 
 
 def sqlite_summary(data: bytes) -> dict:
-    """Tables with rows, columns, keys and indexes. The statistics of the columns come from `rows_of` and `tabular`."""
+    """Tables with rows, columns, keys and indexes. The statistics of the columns come from `stores.sqlite_cells` and `tabular`."""
     db = sqlite3.connect(":memory:")
     # a file in write-ahead mode says so in two bytes of its header; without its log it is read as a plain one
     db.deserialize(data[:18] + b"\x01\x01" + data[20:] if data[18:20] == b"\x02\x02" else data)

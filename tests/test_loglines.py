@@ -65,5 +65,15 @@ def test_years_come_from_the_scan(spark):
     assert got == {(1, 1): "2024-02-29T01:00:00.500000Z", (1, 2): "2023-03-02T01:00:00.500000Z", (2, 1): None}
 
 
+def test_session_zone_makes_no_difference(spark):
+    lines, out = _tables(spark, [(1, 1, "I0301 01:00:00.5 1 a:1] x", "x")])
+    out = spark.sql("select 1L as file_id, timestamp_ntz'2024-03-01 00:59:59.999999' as scanned_at")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert [r.ts_utc for r in L.entries(lines, out).collect()] == ["2023-03-01T01:00:00.500000Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_empty_table(spark):
     assert L.entries(*_tables(spark, [])).collect() == []

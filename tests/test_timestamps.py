@@ -27,6 +27,7 @@ CASES = [
     ("2024-03-09 07:05:01 Europe/Lisbon", "Asia/Tokyo", "2024-03-09T07:05:01.000000Z"),
     (" 2024-03-09T07:05:01−05:00 ", None, "2024-03-09T12:05:01.000000Z"),
     ("2024-03-09 07:05:01", "No/Where", "2024-03-09T07:05:01.000000Z"),
+    ("Mar 9, 2024 12:02:03\u202fPM", None, "2024-03-09T12:02:03.000000Z"),
     ("2024-02-30", None, None),
     ("2023-02-29T00:00:00Z", None, None),
     ("2024-05-17T27:10:00Z", None, None),
