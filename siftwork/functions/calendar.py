@@ -76,3 +76,10 @@ def utc_text(us: Column) -> Column:
         F.date_from_unix_date(_div(us - rest, DAY_US).cast("int")).cast("string"),
         F.format_string("T%02d:%02d:%02d.%06dZ", _div(sec, 3600), _div(sec % 3600, 60), sec % 60, rest % 1_000_000),
     )
+
+
+def second_text(seconds: Column) -> Column:
+    """Seconds since 1970 UTC as ``2024-03-09T07:05:01+00:00``, whatever the session's zone is; null stays null."""
+    rest = F.pmod(seconds, F.lit(86_400))
+    days = F.date_from_unix_date(_div(seconds - rest, 86_400).cast("int")).cast("string")
+    return F.concat(days, F.format_string("T%02d:%02d:%02d+00:00", _div(rest, 3600), _div(rest % 3600, 60), rest % 60))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import typecheck as T
+from siftwork.functions.calendar import second_text, wall_micros
 from siftwork.operators.quality import order_statistics
 
 
@@ -121,7 +122,6 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, keys: list[s
     full = simple_stats(counts, by).join(types, by).join(numbers, by, "left")
     kind = F.col("type")
     of = lambda name, *kinds: F.when(kind.isin(*kinds), F.col(name)).alias(name)
-    rfc = lambda c: F.concat(F.translate(F.date_format(F.timestamp_seconds(F.col(c)), "yyyy-MM-dd HH:mm:ss"), " ", "T"), F.lit("+00:00"))
     dated = kind.isin("date", "timestamp")
     return full.select(
         *by,
@@ -132,17 +132,18 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, keys: list[s
         *[of(c, "number") for c in ("min_value", "max_value", "mean_value", "median_value", "value_range", "iqr", "stdev")],
         of("true_percentage", "boolean"),
         *[of(c, "string") for c in ("min_length", "max_length", "avg_length")],
-        F.when(dated, rfc("min_seconds")).alias("min_date"),
-        F.when(dated, rfc("max_seconds")).alias("max_date"),
+        F.when(dated, second_text(F.col("min_seconds"))).alias("min_date"),
+        F.when(dated, second_text(F.col("max_seconds"))).alias("max_date"),
         F.when(dated, (F.col("max_seconds") - F.col("min_seconds")) / 86400.0).alias("span_days"),
     )
 
 
 def date_stats(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """First and last time, and the span between them in days and minutes."""
-    s = F.unix_seconds(F.col(column).cast("timestamp"))
+    us = wall_micros(df, column)
+    s = F.call_function("div", us - F.pmod(us, F.lit(1_000_000)), F.lit(1_000_000))
     out = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.min(s).alias("lo"), F.max(s).alias("hi"))
-    show = lambda c: F.date_format(F.timestamp_seconds(F.col(c)), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    show = lambda c: second_text(F.col(c))
     span = F.col("hi") - F.col("lo")
     return out.select(*keys, show("lo").alias("min_date"), show("hi").alias("max_date"), (span / 86400.0).alias("span_days"), (span / 60.0).alias("span_minutes"))
 

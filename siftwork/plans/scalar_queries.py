@@ -139,7 +139,7 @@ def w3_first_of_group_events(spark: SparkSession, d: str) -> DataFrame:
 def st_windowed_counts_events(spark: SparkSession, d: str) -> DataFrame:
     from siftwork.streaming.files import windowed_counts
 
-    return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return windowed_counts(table(spark, d, "events"), "ts", "event_type", "1 day")
 
 
 @query()
