@@ -286,3 +286,21 @@ def sentence_structures(sentences: DataFrame, key: str, sentence: str, config: C
     sizes = s.groupBy("key").agg(F.count(F.lit(1)).alias("n_sentences"))
     got = s.groupBy("key", "structure").agg(F.count(F.lit(1)).alias("n"))
     return got.join(sizes, "key").where(F.col("n") >= F.floor(F.col("n_sentences") * config.text_threshold)).drop("n_sentences")
+
+
+def ngram_examples(patterns: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """key, pattern, placeholder, example_no, example of patterns with frequent n-grams, over the first sentences of each.
+
+    A pattern numbers its placeholders by token, examples number them in sequence: the k-th placeholder's number is the
+    token that its example is. patterns: key, sent_no, tokens, pattern, as `text_patterns` gives them.
+    """
+    limit = max(config.max_examples_per_placeholder // 2, config.min_examples_per_placeholder)
+    first = F.row_number().over(W.partitionBy("key", "pattern").orderBy("sent_no"))
+    own = patterns.withColumn("k", first).where(F.col("k") <= min(limit, config.max_examples_for_entropy))
+    places = F.regexp_extract_all("pattern", F.lit(r"(?:^| )\[WORD_(\d+)\](?= |$)"), F.lit(1))
+    each = own.select("key", "pattern", "sent_no", "tokens", F.posexplode(places).alias("seq", "place"))
+    each = each.select("key", "pattern", "sent_no", "seq", F.get("tokens", F.col("place").cast("int")).alias("example"))
+    seen = each.groupBy("key", "pattern", "seq", "example").agg(F.min("sent_no").alias("sent_no"))
+    k = F.row_number().over(W.partitionBy("key", "pattern", "seq").orderBy("sent_no", "example"))
+    seen = seen.withColumn("example_no", k).where(F.col("example_no") <= limit)
+    return seen.select("key", "pattern", F.format_string("WORD_%02d", F.col("seq")).alias("placeholder"), "example_no", "example")

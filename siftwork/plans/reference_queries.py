@@ -419,6 +419,11 @@ def x_structural_patterns_log_lines(spark: SparkSession, d: str) -> DataFrame:
     return M.structural_patterns(_line_sentences(spark, d), "file_id", "line_no", "tok")
 
 
+@query()
+def x2_ngram_examples_documents(spark: SparkSession, d: str) -> DataFrame:
+    return M.ngram_examples(M.text_patterns(_texts(spark, d), "doc_id", "text"))
+
+
 @query()
 def x3_position_examples_documents(spark: SparkSession, d: str) -> DataFrame:
     s = M.sentence_table(_texts(spark, d), "doc_id", "text").where(X.is_full_sentence(F.col("sentence")))

@@ -84,6 +84,15 @@ def test_compression(spark):
     assert got == {1: (54, 50.0), 2: (50, 0.0), 3: (50, 0.0)}
 
 
+def test_examples(spark):
+    rows = [(1, 0, ["a", "b", "c", "d"], "[WORD_00] b c [WORD_03]"), (1, 1, ["x", "b", "c", "d"], "[WORD_00] b c [WORD_03]"), (1, 2, ["a", "b", "c", "e"], "[WORD_00] b c [WORD_03]"), (2, 0, ["p", "q"], "p q")]
+    df = spark.createDataFrame(rows, "key int, sent_no int, tokens array<string>, pattern string")
+    got = {(r.placeholder, r.example_no): r.example for r in M.ngram_examples(df).collect()}
+    assert got == {("WORD_00", 1): "a", ("WORD_00", 2): "x", ("WORD_01", 1): "d", ("WORD_01", 2): "e"}
+    got = {(r.placeholder, r.example_no): r.example for r in M.position_examples(df.where("key = 2")).collect()}
+    assert got == {("WORD_00", 1): "p", ("WORD_01", 1): "q"}
+
+
 def test_empty(spark):
     lines = spark.createDataFrame([], "file long, no long, line string")
     assert M.log_templates(lines, "file", "line", "no").collect() == [] and M.text_templates(spark.createDataFrame([], "d int, t string"), "d", "t").collect() == []
