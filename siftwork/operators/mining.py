@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftwork.config import Config
+from siftwork.functions import shapes as S
 from siftwork.functions import text as X
 
 DEFAULT = Config()
@@ -206,17 +207,80 @@ def text_templates(documents: DataFrame, key: str, text: str, config: Config = D
     return exact.unionByName(coarse)
 
 
-def compression(templates: DataFrame, originals: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def example_counts(examples: DataFrame, keys: list[str], config: Config = DEFAULT) -> DataFrame:
+    """keys and examples: distinct examples, five a placeholder at most."""
+    each = examples.groupBy(*keys, "placeholder").agg(F.least(F.countDistinct("example"), F.lit(min(config.max_examples_per_placeholder, 5))).alias("n"))
+    return each.groupBy(*keys).agg(F.sum("n").alias("examples"))
+
+
+def templates_with_examples(documents: DataFrame, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
+    """key, pattern, template_count, fallback, examples: `text_templates` with the number of examples that the first sentences
+    of each give, and with the entropy behind the pattern where it is shown.
+
+    Patterns of placeholders only have examples at each token with a letter or digit, others at their placeholders. The
+    patterns are dear, so they are made once and dealt out by document, and all counts are windows over them.
+    """
+    p = text_patterns(documents, key, text, config).repartition("key")
+    doc, shape = W.partitionBy("key"), F.array_join(F.transform("tokens", lambda t, i: X.placeholder("WORD", i)), " ")
+    one = F.lit(1)
+    p = p.withColumn("n_sentences", F.count(one).over(doc)).withColumn("avg_len", F.avg(F.size("tokens")).over(doc)).withColumn("len", F.size("tokens"))
+    p = p.withColumn("exact_count", F.count(one).over(W.partitionBy("key", "pattern"))).withColumn("coarse_count", F.count(one).over(W.partitionBy("key", "len")))
+    least = F.greatest(F.floor(F.col("n_sentences") * config.text_threshold), F.lit(2))
+    longest = 2 * F.floor("avg_len")
+    p = p.withColumn("exact", (F.col("exact_count") >= least) & (F.size(F.split("pattern", " ")) <= longest)).withColumn("fallback", ~F.max("exact").over(doc))
+    p = p.where(F.when(F.col("fallback"), (F.col("coarse_count") >= least) & (F.col("len") <= longest)).otherwise(F.col("exact")))
+    p = p.select("key", "sent_no", "tokens", "fallback", F.when(F.col("fallback"), shape).otherwise(F.col("pattern")).alias("pattern"), F.when(F.col("fallback"), F.col("coarse_count")).otherwise(F.col("exact_count")).alias("template_count"))
+    most = min(max(config.max_examples_per_placeholder // 2, config.min_examples_per_placeholder), config.max_examples_for_entropy)
+    first = p.withColumn("k", F.row_number().over(W.partitionBy("key", "pattern").orderBy("sent_no"))).where(F.col("k") <= most)
+    t = first.groupBy("key", "pattern", "template_count", "fallback").agg(F.collect_list("tokens").alias("some"))  # at most `most` sentences
+    open_ = S.all_placeholders(F.col("pattern"))
+    places = F.transform(F.regexp_extract_all("pattern", F.lit(r"(?:^| )\[WORD_(\d+)\](?= |$)"), F.lit(1)), lambda x: x.cast("int"))
+    places = F.when(open_, F.sequence(F.lit(0), F.size(F.col("some")[0]) - 1)).otherwise(places)
+    worth = lambda x: x.isNotNull() & (~open_ | x.rlike(r"[\p{IsAlphabetic}\p{N}]"))
+    sizes = F.transform(places, lambda i: F.size(F.array_distinct(F.filter(F.transform("some", lambda t: F.get(t, i)), worth))))
+    t = t.withColumn("n", F.filter(sizes, lambda n: n > 0))
+    of = lambda f: F.aggregate("n", F.lit(0.0), lambda a, n: a + f(n))
+    bound = F.lit(float(config.entropy_small_sample_threshold))
+    entropy_ = of(lambda n: F.when(n <= 1, 0.0).otherwise(F.least(n / bound, F.lit(1.0)))) / F.size("n")
+    t = t.withColumn("entropy", F.when(F.size("n") > 0, entropy_).otherwise(0.0))
+    shown = (F.col("template_count") >= config.min_entropy_sample_size) & (F.col("entropy") > config.min_entropy_display) & (F.col("entropy") < config.max_entropy_display)
+    tagged = F.when(shown, F.format_string("%s [entropy=%.2f]", "pattern", "entropy")).otherwise(F.col("pattern"))
+    examples = of(lambda n: F.least(n, F.lit(min(config.max_examples_per_placeholder, 5)))).cast("bigint")
+    return t.select("key", tagged.alias("pattern"), "template_count", "fallback", examples.alias("examples"))
+
+
+def footprint_tokens(documents: DataFrame, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
+    """key, footprint_tokens of the documents that are mined, those with a full sentence: the base, the subject-verb-object
+    metrics, and the different words that are the first pivot of a sentence, max_common_pivots at most."""
+    s = sentence_table(documents, key, text)
+    each = s.select("key", "sent_no", F.posexplode(F.transform("tokens", lambda t: X.normal_token(t))).alias("pos", "word"))
+    hit = each.join(pivots(s, "key", "tokens", config).select("key", "pos", "word"), ["key", "pos", "word"], "left_semi")
+    first = hit.groupBy("key", "sent_no").agg(F.min(F.struct("pos", "word"))["word"].alias("word"))
+    words = first.groupBy("key").agg(F.least(F.countDistinct("word"), F.lit(config.max_common_pivots)).alias("n"))
+    mined = s.where(X.is_full_sentence(F.col("sentence"))).select("key").distinct()
+    fixed = config.footprint_base_overhead_tokens + config.footprint_svo_metrics_tokens
+    return mined.join(words, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + fixed).alias("footprint_tokens"))
+
+
+def compression(templates: DataFrame, originals: DataFrame, config: Config = DEFAULT, footprints: DataFrame | None = None) -> DataFrame:
     """key, original_tokens, compressed_tokens, reduction_percent.
 
     templates: key, pattern and, if there are any, examples (number of examples, capped at five each placeholder).
-    originals: key, original_tokens.
+    originals: key, original_tokens. footprints, for text: key, footprint_tokens; a key without one wasn't mined, and has
+    no compressed tokens and no reduction.
     """
-    examples = F.col("examples") if "examples" in templates.columns else F.lit(0)
+    examples = F.coalesce(F.col("examples"), F.lit(0)) if "examples" in templates.columns else F.lit(0)
     used = templates.groupBy("key").agg(F.sum(F.size(F.filter(F.split("pattern", r"\s+"), lambda t: t != "")) + examples).alias("t"))
-    out = originals.join(used, "key", "left").withColumn("compressed_tokens", F.coalesce("t", F.lit(0)) + config.json_overhead_tokens)
+    own = originals.join(used, "key", "left")
+    total = F.coalesce("t", F.lit(0)) + config.json_overhead_tokens
+    mined = F.lit(True)
+    if footprints is not None:
+        own = own.join(footprints, "key", "left")
+        mined = F.col("footprint_tokens").isNotNull()
+        total = F.when(mined, total + F.col("footprint_tokens")).otherwise(0)
+    out = own.withColumn("compressed_tokens", total)
     saved = F.greatest(F.col("original_tokens") - F.col("compressed_tokens"), F.lit(0))
-    return out.select("key", "original_tokens", "compressed_tokens", F.when(F.col("original_tokens") > 0, 100.0 * saved / F.col("original_tokens")).otherwise(0.0).alias("reduction_percent"))
+    return out.select("key", "original_tokens", "compressed_tokens", F.when(mined & (F.col("original_tokens") > 0), 100.0 * saved / F.col("original_tokens")).otherwise(0.0).alias("reduction_percent"))
 
 
 def line_stats(documents: DataFrame, key: str, text: str) -> DataFrame:

@@ -387,7 +387,8 @@ def m3_text_templates_documents(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def a32_compression_documents(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
-    return M.compression(M.text_templates(texts, "doc_id", "text"), texts.select(F.col("doc_id").alias("key"), F.floor(F.octet_length("text") / 4).alias("original_tokens")))
+    originals = texts.select(F.col("doc_id").alias("key"), F.floor(F.octet_length("text") / 4).alias("original_tokens"))
+    return M.compression(M.templates_with_examples(texts, "doc_id", "text"), originals, footprints=M.footprint_tokens(texts, "doc_id", "text"))
 
 
 @query("""with p as (select file_id as key, template_pattern as pattern from (select distinct template_id, file_id, template_pattern from templates where template_pattern is not null)),
@@ -400,6 +401,23 @@ def a31_compression_templates(spark: SparkSession, d: str) -> DataFrame:
     return _round(M.compression(t, o), "reduction_percent", digits=6)
 
 
+@query("""with e as (select distinct template_id, file_id as key, template_pattern as pattern, entry.key as placeholder, unnest(entry.value) as example
+ from (select template_id, file_id, template_pattern, unnest(map_entries(template_examples)) as entry from templates where template_pattern is not null and template_examples is not null)),
+ n as (select template_id, key, pattern, sum(n) as examples from (select template_id, key, pattern, placeholder, least(count(distinct example), 5) as n from e group by 1, 2, 3, 4) group by 1, 2, 3),
+ p as (select distinct template_id, file_id as key, template_pattern as pattern from templates where template_pattern is not null),
+ u as (select p.key, sum(len(string_split(p.pattern, ' ')) + coalesce(examples, 0)) as t from p left join n on p.template_id = n.template_id and p.key = n.key and p.pattern = n.pattern group by 1),
+ o as (select file_id as key, max(token_count) as original_tokens from outputs where token_count is not null group by 1)
+ select o.key, original_tokens, coalesce(t, 0) + 50 as compressed_tokens, round(case when original_tokens > 0 then 100.0 * greatest(original_tokens - coalesce(t, 0) - 50, 0) / original_tokens else 0 end, 6) as reduction_percent
+ from o left join u using (key)""")
+def a31_compression_with_examples_templates(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "templates").where("template_pattern is not null")
+    by = ["template_id", "key", "pattern"]
+    lists = t.select("template_id", F.col("file_id").alias("key"), F.col("template_pattern").alias("pattern"), F.explode_outer("template_examples").alias("placeholder", "list"))
+    counted = M.example_counts(lists.select(*by, "placeholder", F.explode_outer("list").alias("example")), by)
+    o = table(spark, d, "outputs").where("token_count is not null").groupBy(F.col("file_id").alias("key")).agg(F.max("token_count").alias("original_tokens"))
+    return _round(M.compression(counted, o), "reduction_percent", digits=6)
+
+
 @query("""with e as (select distinct template_id, entry.key as placeholder, unnest(entry.value) as example from (select template_id, unnest(map_entries(template_examples)) as entry from templates where template_examples is not null)),
  n as (select template_id, placeholder, least(count(distinct example), 10) as n from e group by 1, 2) select template_id, round(avg(case when n <= 1 then 0 else least(n / 5.0, 1) end), 6) as entropy from n group by 1""")
 def a13_entropy_templates(spark: SparkSession, d: str) -> DataFrame:

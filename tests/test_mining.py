@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.config import configured
 from siftwork.functions import text as X
 from siftwork.operators import mining as M
 
@@ -84,6 +85,25 @@ def test_compression(spark):
     assert got == {1: (54, 50.0), 2: (50, 0.0), 3: (50, 0.0)}
 
 
+def test_compression_counts_examples_and_footprint(spark):
+    text = "The old dog ran home. The old dog ran home. The old dog ran home."
+    df = spark.createDataFrame([(1, text), (2, "Cats eat fish. Dogs drink milk. - run off."), (3, "--")], "d int, t string")
+    t = M.templates_with_examples(df, "d", "t")
+    assert {(r.key, r.pattern, r.examples) for r in t.where("key = 1").collect()} == {(1, "The old dog ran [WORD_04]", 1)}
+    f = {r.key: r.footprint_tokens for r in M.footprint_tokens(df, "d", "t").collect()}
+    assert f[1] == 30 and f[2] == 30 and 3 not in f
+    o = spark.createDataFrame([(1, 200), (3, 100)], "key int, original_tokens int")
+    got = {r.key: (r.compressed_tokens, r.reduction_percent) for r in M.compression(t, o, footprints=M.footprint_tokens(df, "d", "t")).collect()}
+    assert got == {1: (86, 57.0), 3: (0, 0.0)}
+    words = spark.createDataFrame([(1, " ".join(f"Xa{c} yb{c} - zeta{c}." for c in "abcdefg"))], "d int, t string")
+    got = M.templates_with_examples(words, "d", "t", configured(min_ngram_size=9, max_ngram_size=9)).collect()
+    assert [(r.template_count, r.examples, r.fallback) for r in got] == [(7, 15, False)]
+    e = spark.createDataFrame([(1, "A", str(k)) for k in range(7)] + [(1, "B", "x"), (1, "C", None)], "key int, placeholder string, example string")
+    assert [r.examples for r in M.example_counts(e, ["key"]).collect()] == [6]
+    s = spark.createDataFrame([(1, "Cats eat fish now. Dogs eat meat today. Cows eat grass too.")], "d int, t string")
+    assert [r.footprint_tokens for r in M.footprint_tokens(s, "d", "t").collect()] == [31]
+
+
 def test_examples(spark):
     rows = [(1, 0, ["a", "b", "c", "d"], "[WORD_00] b c [WORD_03]"), (1, 1, ["x", "b", "c", "d"], "[WORD_00] b c [WORD_03]"), (1, 2, ["a", "b", "c", "e"], "[WORD_00] b c [WORD_03]"), (2, 0, ["p", "q"], "p q")]
     df = spark.createDataFrame(rows, "key int, sent_no int, tokens array<string>, pattern string")
