@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwork.operators import documents as D
 from siftwork.operators import mining as M
 from siftwork.plans.tables import table
+from siftwork.sources.stores import json_records
 
 
 def _bodies(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
@@ -41,10 +42,7 @@ def m4_markdown_templates_file_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m2_json_templates_file_bodies(spark: SparkSession, d: str) -> DataFrame:
-    from siftwork.functions.text import lines
-
-    own = _bodies(spark, d, "Json").select("item_id", F.posexplode(lines(F.col("body"))).alias("line_no", "record"))
-    return M.json_templates(own, "item_id", "record", "line_no")
+    return M.json_templates(json_records(_bodies(spark, d, "Json"), "item_id", "body"), "key", "record", "line_no")
 
 
 QUERIES = {f.__name__: f for f in (r_summaries_file_bodies, r10_html_tags_file_bodies, r11_html_text_file_bodies, m5_html_templates_file_bodies, g6_markdown_blocks_file_bodies, m4_markdown_templates_file_bodies, m2_json_templates_file_bodies)}

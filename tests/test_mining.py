@@ -57,6 +57,16 @@ def test_json_templates(spark):
     assert {r.value for r in M.json_pairs(df, "k", "j", "n").where("jkey in ('b', 'c')").collect()} == {'"x"', '"y"', "[num:2]", "{1 keys}"}
 
 
+def test_json_templates_of_whole_texts(spark):
+    from siftwork.sources.stores import json_records
+
+    bodies = ['{\n "a": 1\n}', '[\n {"a": 1},\n {"a": 1}\n]', '[["h"], [1], [1, 2]]', "[1, 2]\n[1, 2]", "7", '{"a": 1e5}\n{"a": 1e5}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    got = {(r.key, r.pattern, r.template_count) for r in M.json_templates(json_records(df, "k", "body"), "key", "record", "line_no").collect()}
+    assert {x for x in got if x[0] < 5} == {(0, '{"a": 1}', 1), (1, '{"a": 1}', 2), (2, '{"h": 1}', 1), (2, '{"col_01": 2, "h": 1}', 1), (3, '{"pos_00": 1, "pos_01": 2}', 2)}
+    assert [(x[0], x[2]) for x in got if x[0] == 5] == [(5, 2)]
+
+
 def test_text_templates_and_fallback(spark):
     df = spark.createDataFrame([(1, "The red cat sat here. The red cat sat here. Dogs run."), (2, "One two three. Four five six. Seven eight."), (3, None), (4, "")], "d int, t string")
     got = {(r.key, r.pattern): (r.template_count, r.fallback) for r in M.text_templates(df, "d", "t").collect()}
