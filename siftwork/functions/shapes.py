@@ -93,7 +93,9 @@ def sample_rows(file_bytes: int, rows: int, columns: int, base: int = 10_000) ->
 
 
 def timestamp_presence(line: Column) -> Column:
-    """Whether a line holds a Unix time, or starts with words that are a date or time."""
+    """Whether a line holds a Unix time, or one to six words from one of its first six that are a date or time."""
     tok = X.tokens(line)
-    heads = [T.date_seconds(F.array_join(F.slice(tok, 1, k), " ")) for k in range(1, 6)]
-    return T.has_unix_time(line) | F.coalesce(*heads).isNotNull()
+    runs = [F.array_join(F.slice(tok, i, k), " ") for i in range(1, 7) for k in range(1, 7)]
+    # every date has one of these; the others needn't be parsed
+    likely = F.filter(F.array_distinct(F.array(*runs)), lambda w: w.rlike(r"\d[/:-]\d|\d{6}"))
+    return T.has_unix_time(line) | F.exists(likely, lambda w: T.date_seconds(w).isNotNull())

@@ -87,4 +87,5 @@ def date_seconds(v: Column, year: int = 1970) -> Column:
         F.when(us.isNotNull(), naive(F.concat(us, F.lit(" 00:00:00")), "M/d/yyyy HH:mm:ss")),
         F.when(asc.isNotNull(), naive(asc, "MMM d HH:mm:ss yyyy")),
         F.when(sys_.isNotNull(), naive(sys_, "MMM d HH:mm:ss yyyy")),
+        F.when(s.rlike(r"^\d{6}$"), naive(F.concat(F.substring(s, 1, 4), F.when(F.substring(s, 5, 2) < "69", "20").otherwise("19"), F.substring(s, 5, 2), F.lit(" 00:00:00")), "ddMMyyyy HH:mm:ss")),
     )

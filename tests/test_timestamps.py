@@ -83,3 +83,11 @@ def test_repeats_and_nulls_in_keys(spark):
         ("tet_history", 4, "2024-01-01T03:00:00.000000Z"),
         ("tet_history", 5, "2023-11-14T22:13:20.000000Z"),
     ]
+
+
+def test_timestamps_behind_other_words(spark):
+    from siftwork.functions import shapes
+
+    rows = [("INFO 2026-01-21 05:20:35 started", True), ("a b c d e 2026-01-21", True), ("a b c d e f 2026-01-21", False), ("host Mon Dec 1 19:26:16 2025 up", True), ("run 271125 done", True), ("run 991399 done", False), ("no date", False), ("", False)]
+    got = spark.createDataFrame(rows, "line string, want boolean").select("line", "want", shapes.timestamp_presence(F.col("line")).alias("got")).collect()
+    assert [(r.line, r.got) for r in got] == rows
