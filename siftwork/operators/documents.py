@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.config import Config
+from siftwork.operators.mining import text_templates
+from siftwork.sources.containers import epub_parts
 from siftwork.sources.documents import html_text, markdown_blocks
 from siftwork.sources.files import summarise
 
@@ -53,6 +55,28 @@ def html_texts(df: DataFrame, key: str, html: str) -> DataFrame:
     return own.mapInPandas(run, f"key {dict(df.dtypes)[key]}, text string")
 
 
+def epub_texts(df: DataFrame, key: str, content: str) -> DataFrame:
+    """key and the text of the chapters of each book, in the order of the spine; empty for a book that can't be read."""
+
+    def told(data: bytes) -> str:
+        try:
+            return "\n".join(html_text(c.decode("utf-8", "replace")) for c in epub_parts(data)[1])
+        except Exception:  # noqa: BLE001 - any broken book must leave its row
+            return ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "text": [told(bytes(c)) for c in b["content"].tolist()]})
+
+    own = df.where(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).alias("content"))
+    return own.mapInPandas(run, f"key {dict(df.dtypes)[key]}, text string")
+
+
+def epub_templates(df: DataFrame, key: str, content: str, config: Config = Config()) -> DataFrame:
+    """The templates of the text of each book."""
+    return text_templates(epub_texts(df, key, content), "key", "text", config)
+
+
 def summaries(df: DataFrame, key: str, kind: str, body: str) -> DataFrame:
     """key, metadata (JSON) and failure of each body, read as a file of its type."""
 

@@ -83,18 +83,35 @@ def json_pairs(records: DataFrame, key: str, record: str, order: str) -> DataFra
     inner = F.substring(F.ltrim(F.substring(F.col("raw"), F.lit(2), F.length("raw"))), 1, 1)
     of = F.when(n == 0, "empty").when(inner == '"', "str").when(inner == "[", "array").when(inner == "{", "object").when(inner.isin("t", "f"), "bool").when(inner == "n", "null").otherwise("num")
     value = F.when(kind == "array", F.format_string("[%s:%d]", of, n)).when(kind == "object", F.format_string("{%d keys}", F.size(F.json_object_keys("raw")))).otherwise(F.col("raw"))
-    return each.select("key", "ord", "jkey", kind.alias("kind"), value.alias("value"))
+    return each.select("key", "ord", "jkey", kind.alias("kind"), value.alias("value"), "raw")
 
 
-def json_templates(records: DataFrame, key: str, record: str, order: str, config: Config = DEFAULT) -> DataFrame:
-    """key, pattern, template_count: objects with fields of frequent values as they are and [name_VALUE] elsewhere."""
+def json_patterns(records: DataFrame, key: str, record: str, order: str, config: Config = DEFAULT) -> DataFrame:
+    """key, ord, pattern: objects with fields of frequent values as they are and [name_VALUE] elsewhere."""
     pairs = json_pairs(records, key, record, order)
     size = records.where(F.col(record).isNotNull() & F.json_object_keys(record).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n_records"))
     freq = pairs.groupBy("key", "jkey", "value").agg(F.count(F.lit(1)).alias("n"))
     static = freq.join(size, "key").where(F.col("n") >= F.floor(F.col("n_records") * config.static_threshold)).select("key", "jkey", "value", F.lit(True).alias("static"))
     shown = F.when(F.col("static"), F.concat(F.lit('"'), F.col("jkey"), F.lit('": '), F.col("value"))).otherwise(F.concat(F.lit('"'), F.col("jkey"), F.lit('": ['), F.col("jkey"), F.lit("_VALUE]")))
     part = pairs.join(static, ["key", "jkey", "value"], "left").groupBy("key", "ord").agg(F.array_sort(F.collect_list(shown)).alias("parts"))  # the fields of one record
-    return part.groupBy("key", F.concat(F.lit("{"), F.array_join("parts", ", "), F.lit("}")).alias("pattern")).agg(F.count(F.lit(1)).alias("template_count"))
+    return part.select("key", "ord", F.concat(F.lit("{"), F.array_join("parts", ", "), F.lit("}")).alias("pattern"))
+
+
+def json_templates(records: DataFrame, key: str, record: str, order: str, config: Config = DEFAULT) -> DataFrame:
+    """key, pattern, template_count of each source."""
+    return json_patterns(records, key, record, order, config).groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("template_count"))
+
+
+def json_examples(records: DataFrame, key: str, record: str, order: str, config: Config = DEFAULT) -> DataFrame:
+    """key, pattern, placeholder, example_no, example: the first distinct values of each field, static ones too, over the
+    first records of each template."""
+    p = json_patterns(records, key, record, order, config)
+    p = p.withColumn("k", F.row_number().over(W.partitionBy("key", "pattern").orderBy("ord"))).where(F.col("k") <= config.max_sample_lines)
+    text = F.when(F.col("kind") == "str", F.try_variant_get(F.try_parse_json("raw"), F.lit("$"), "string")).otherwise(F.col("raw"))
+    each = json_pairs(records, key, record, order).select("key", "ord", "jkey", text.alias("example")).join(p, ["key", "ord"])
+    seen = each.groupBy("key", "pattern", "jkey", "example").agg(F.min("k").alias("k"))
+    seen = seen.withColumn("example_no", F.row_number().over(W.partitionBy("key", "pattern", "jkey").orderBy("k", "example")))
+    return seen.where(F.col("example_no") <= config.max_examples_per_placeholder).select("key", "pattern", F.concat("jkey", F.lit("_VALUE")).alias("placeholder"), "example_no", "example")
 
 
 def ngram_counts(sentences: DataFrame, key: str, tokens: str, config: Config = DEFAULT) -> DataFrame:

@@ -57,6 +57,24 @@ def test_json_templates(spark):
     assert {r.value for r in M.json_pairs(df, "k", "j", "n").where("jkey in ('b', 'c')").collect()} == {'"x"', '"y"', "[num:2]", "{1 keys}"}
 
 
+def test_json_examples_and_books(spark):
+    import io
+    import zipfile
+
+    from siftwork.operators import documents as D
+
+    df = spark.createDataFrame([(1, k, f'{{"a": 1, "b": "x{k // 2}"}}') for k in range(4)], "k int, n int, j string")
+    got = [(r.placeholder, r.example_no, r.example) for r in M.json_examples(df, "k", "j", "n").orderBy("placeholder", "example_no").collect()]
+    assert got == [("a_VALUE", 1, "1"), ("b_VALUE", 1, "x0"), ("b_VALUE", 2, "x1")]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfile full-path="c.opf"/></container>')
+        z.writestr("c.opf", '<package><manifest><item id="a" href="a.html"/></manifest><spine><itemref idref="a"/></spine></package>')
+        z.writestr("a.html", "<html><body><p>The old dog ran home. The old dog ran home.</p></body></html>")
+    books = spark.createDataFrame([(1, bytearray(out.getvalue())), (2, bytearray(b"no book"))], "k int, c binary")
+    assert [(r.key, r.template_count) for r in D.epub_templates(books, "k", "c").collect()] == [(1, 2)]
+
+
 def test_json_templates_of_whole_texts(spark):
     from siftwork.sources.stores import json_records
 
