@@ -72,6 +72,8 @@ def parsed(log_lines: DataFrame) -> DataFrame:
 def entries(log_lines: DataFrame, outputs: DataFrame) -> DataFrame:
     """file_id, first_line, last_line, ts_utc, log_level, component, message of each entry."""
     lines = parsed(log_lines).withColumn("block", F.floor(F.col("line_no") / BLOCK).cast("bigint"))
+    # said here for both uses of part: the planner would say it for one of them, and parse the lines again for the other
+    lines = lines.where("file_id is not null and block is not null")
     # lines before a block's first header come as first_line null
     in_block = W.partitionBy("file_id", "block").orderBy("line_no")
     lines = lines.withColumn("first_line", F.last(F.when(F.col("head"), F.col("line_no")), ignorenulls=True).over(in_block))
