@@ -7,6 +7,7 @@ form, value shares (half the sum of absolute differences against the load before
 A value is carried in the column of its type (``lv`` integers, ``dv`` doubles, ``sv`` text), so numbers are never turned
 into text. A feed or value that holds a third of all rows is harmless: counts are combined before the shuffle and
 spread by value, and order statistics are found by radix selection (`order_statistics`), never by sorting a group.
+The tables are read once: all figures come from the same counts.
 
 Defined cases: null is SQL null, or in text columns also '', 'null', 'nil' in any case; a column with only nulls has 0
 distinct values, null range and median, and a distinct count per value of 0; NaN is a value like any other for counts
@@ -36,11 +37,11 @@ def declared(column_spec: DataFrame) -> list[Row]:
     return rows
 
 
-def _cells(df: DataFrame, tbl: str, spec: list[Row], columns: list[str], codes: dict) -> DataFrame | None:
-    """code, feed_no, load_no, lv, dv, sv of each cell of the given columns; a null cell has null in all three."""
+def _cells(df: DataFrame, tbl: str, spec: list[Row], codes: dict) -> DataFrame | None:
+    """code, feed_no, load_no, lv, dv, sv of each cell of the declared columns; a null cell has null in all three."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cells = []
-    for c in (c for c in columns if c in kinds):
+    for c in (r.column_name for r in spec if r.tbl == tbl and r.column_name in kinds):
         v, kind = F.col(f"`{c}`"), kinds[c]
         none = [F.lit(None).cast(t) for t in ("bigint", "double", "string")]
         if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
@@ -56,30 +57,31 @@ def _cells(df: DataFrame, tbl: str, spec: list[Row], columns: list[str], codes:
     return df.select("feed_no", "load_no", F.inline(F.array(*cells)))
 
 
-def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict, keep=lambda r: True) -> DataFrame:
-    """code, feed_no, load_no, lv, dv, sv, n: how often each value occurs in each kept column of each load.
+def value_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict) -> DataFrame:
+    """code, feed_no, load_no, lv, dv, sv, n: how often each value occurs in each declared column of each load.
 
-    Only the kept columns are read; that is cheaper than sharing one set of counts, as the filters of its users differ.
+    The one pass over the tables: profile, shares and order statistics all work on these counts. Their filters test an
+    aggregate (`_of`), so that none is pushed below the shuffle and all of them read the same one.
     """
-    parts = [_cells(df, t, spec, [r.column_name for r in spec if r.tbl == t and keep(r)], codes) for t, df in tables.items()]
-    parts = [p for p in parts if p is not None]
+    parts = [p for p in (_cells(df, t, spec, codes) for t, df in tables.items()) if p is not None]
     if not parts:
         df = next(iter(tables.values()))
-        empty = "code int, feed_no int, load_no int, lv bigint, dv double, sv string, n bigint"
-        return df.sparkSession.createDataFrame([], empty)
+        return df.sparkSession.createDataFrame([], "code int, feed_no int, load_no int, lv bigint, dv double, sv string, n bigint")
     cells = reduce(DataFrame.unionByName, parts)
     return cells.groupBy("code", "feed_no", "load_no", "lv", "dv", "sv").agg(F.count(F.lit(1)).alias("n"))
 
 
-def number_counts(tables: dict[str, DataFrame], spec: list[Row], codes: dict) -> DataFrame:
-    """code, feed_no, load_no, x, n of the numbers in columns of kind number; NaN and rows without load are left out."""
-    cells = [_cells(df, t, spec, [r.column_name for r in spec if r.tbl == t and r.value_kind == "number"], codes) for t, df in tables.items()]
-    cells = [c for c in cells if c is not None]
-    if not cells:
-        df = next(iter(tables.values()))
-        return df.sparkSession.createDataFrame([], "code int, feed_no int, load_no int, x double, n bigint")
-    own = reduce(DataFrame.unionByName, cells).select("code", "feed_no", "load_no", _number().alias("x")).where("x is not null and feed_no is not null and load_no is not null")
-    return own.groupBy("code", "feed_no", "load_no", "x").agg(F.count(F.lit(1)).alias("n"))
+def _of(counts: DataFrame, codes: list[int], *values: Column) -> DataFrame:
+    """code, feed_no, load_no, the values and n of some columns' counts, of rows that belong to a load."""
+    here = lambda c: F.when(F.col("n") > 0, c)  # noqa: E731 - n is an aggregate: nothing of this moves below it
+    key = [here(F.col(c)).alias(c) for c in ("code", "feed_no", "load_no")]
+    mine = here(F.col("code")).isin(codes) & here(F.col("feed_no")).isNotNull() & here(F.col("load_no")).isNotNull()
+    return counts.where(mine).select(*key, *values, "n")
+
+
+def number_counts(counts: DataFrame, codes: list[int]) -> DataFrame:
+    """code, feed_no, load_no, x, n of the numbers in the given columns; NaN and rows without load are left out."""
+    return _of(counts, codes, F.when(F.col("n") > 0, _number()).alias("x"))
 
 
 def _number() -> Column:
@@ -87,22 +89,17 @@ def _number() -> Column:
 
 
 def _violates(spec: list[Row], codes: dict) -> Column:
-    """Whether sv isn't matched as a whole by the pattern declared for its column."""
-    out = F.when(F.lit(False), F.lit(False))
+    """Whether sv isn't matched as a whole by the pattern declared for its column: a branch for each different pattern."""
+    of: dict[str, list[int]] = {}
     for r in spec:
         if r.value_pattern is not None:
-            out = out.when(F.col("code") == codes[r.tbl, r.column_name], ~F.col("sv").rlike(rf"\A(?:{r.value_pattern})\z"))
+            of.setdefault(r.value_pattern, []).append(codes[r.tbl, r.column_name])
+    out = F.when(F.lit(False), F.lit(False))
+    for pattern, columns in of.items():
+        out = out.when(F.col("code").isin(columns), ~F.col("sv").rlike(rf"\A(?:{pattern})\z"))
     return F.coalesce(out.otherwise(F.lit(False)), F.lit(False))
 
 
-def _choice(spec: list[Row], codes: dict, field: str, kind: str) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast(kind))
-    for r in spec:
-        if r[field] is not None:
-            out = out.when(F.col("code") == codes[r.tbl, r.column_name], F.lit(r[field]).cast(kind))
-    return out
-
-
 def profile(counts: DataFrame, spec: list[Row], codes: dict) -> DataFrame:
     """One row per column and load: rows, nulls, distincts, range, lengths and violations."""
     x, n = _number(), F.col("n")
@@ -122,52 +119,82 @@ def profile(counts: DataFrame, spec: list[Row], codes: dict) -> DataFrame:
     )
 
 
+#: Distinct values of a bucket up to which it is put in order at once, parts into which a larger one is cut, and how often:
+#: after the second cut fewer than 300,000 doubles are left between a bucket's ends.
+BOUND, PARTS, CUTS = 65_536, 65_536, 2
+#: Tasks over which the values of one bucket are spread.
+SALT = 8
+
+
 def _bucket(x: Column) -> Column:
-    """An integer that sorts as the double does: its exponent and 5 bits of its mantissa, negated for negatives."""
-    a = F.least(F.abs(x), F.lit(1.7976931348623157e308))
-    e0 = F.floor(F.log2(a)).cast("int")
-    p0 = F.pow(F.lit(2.0), e0.cast("double"))
-    e = F.when(p0 > a, e0 - 1).when(p0 * 2 <= a, e0 + 1).otherwise(e0)  # log2 may be off by one at a power of two
-    frac = F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * 32).cast("bigint")
-    key = (e.cast("bigint") + 1100) * 32 + frac
-    return F.when(x == 0, F.lit(0).cast("bigint")).when(x < 0, -key).otherwise(key)
+    """An integer that sorts as the double does, four to a power of two: logarithms never change the order of two numbers.
+    Kept small, so that the code generated for it and the counts below it is compiled."""
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(2000.0)) * 4) + 8192
+    return F.coalesce((F.signum(x) * size).cast("bigint"), F.lit(0))
 
 
-def order_statistics(counts: DataFrame, keys: list[str], value: str, n: str, ranks: dict[str, Column]) -> DataFrame:
-    """keys and, for each name in ranks, the value at that rank (counted from 0) of the sorted values of its group.
+def _placed(h: Column, rank: Column) -> Column:
+    """The bucket in h that holds a rank, and the rank inside it."""
+    start = F.struct(rank.cast("bigint").alias("rank"), F.lit(None).cast(BUCKET).alias("b"))
 
-    ranks: expressions over ``total``, the size of the group. Radix selection: values are put into buckets by exponent and
-    the 5 leading bits of the mantissa, which sort as the values do. One pass counts the buckets and finds that of each
-    rank and how many values lie before it; only the distinct values inside those buckets, which agree within one part in
-    32, are then put in order. Both passes combine before their shuffle, and no task ever holds or sorts the values of
-    a whole group.
-    """
-    # coalesce keeps the optimiser from testing the bucket for null, and so from computing it, for every raw value
-    data = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(n).alias("n")).withColumn("hi", F.coalesce(_bucket(F.col("x")), F.lit(0)))
-    first = data.groupBy(*keys, "hi").agg(F.sum("n").alias("n"))
-    # a group's buckets are bounded in number, whatever its size: they fit an array
-    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hi", "n"))).alias("h"))
-    first = first.select(*keys, "h", F.aggregate("h", F.lit(0).cast("bigint"), lambda a, b: a + b["n"]).alias("total"))
+    def step(acc: Column, b: Column) -> Column:
+        here = F.struct(acc["rank"].alias("rank"), b.alias("b"))
+        later = F.struct((acc["rank"] - b["n"]).alias("rank"), F.lit(None).cast(BUCKET).alias("b"))
+        return F.when(acc["b"].isNotNull(), acc).when(acc["rank"] < b["n"], here).otherwise(later)
 
-    def place(rank: Column) -> Column:
-        """Bucket of a rank, and the rank inside it."""
-        start = F.struct(rank.cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("hi"))
+    return F.aggregate(h, start, step)
 
-        def step(acc: Column, b: Column) -> Column:
-            return F.when(acc["hi"].isNotNull(), acc).when(acc["rank"] < b["n"], F.struct(acc["rank"].alias("rank"), b["hi"].alias("hi"))).otherwise(F.struct((acc["rank"] - b["n"]).alias("rank"), F.lit(None).cast("bigint").alias("hi")))
 
-        return F.aggregate("h", start, step)
+BUCKET = "struct<hi:bigint,n:bigint,kinds:bigint,lo:double,up:double>"
 
-    placed = F.array(*[F.struct(F.lit(name).alias("stat"), place(rank).alias("at")) for name, rank in ranks.items()])
-    hit = first.select(*keys, F.inline(placed)).where("at.hi is not null").groupBy(*keys, F.col("at.hi").alias("hi")).agg(F.collect_list(F.struct("stat", F.col("at.rank").alias("rank"))).alias("w"))  # an entry a rank
 
-    inside = data.join(hit, [*keys, "hi"])
-    fine = W.partitionBy(*keys, "hi")
-    inside = inside.withColumn("before", F.coalesce(F.sum("n").over(fine.orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+def _histogram(data: DataFrame, keys: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """keys, h and the carried columns: the buckets of each group in order. They are bounded in number, whatever the group's
+    size, so they fit an array."""
+    same = [F.max(c).alias(c) for c in carried]
+    each = data.groupBy(*keys, "hi").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("x").alias("lo"), F.max("x").alias("up"), *same)
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hi", "n", "kinds", "lo", "up"))).alias("h"), *same)
+
+
+def order_statistics(counts: DataFrame, keys: list[str], value: str, n: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys and, for each name in ranks, the value at that rank (counted from 0) of the sorted values of its group.
+
+    ranks: expressions over ``total``, the size of the group. Radix selection: values are put into buckets by magnitude,
+    which sort as the values do. One pass counts the buckets and finds that of each rank
+    and how many values lie before it. A bucket of more than BOUND distinct values is cut into PARTS even parts between its
+    ends, CUTS times at most, and searched in the same way; what is left is put in order. Each pass combines before its
+    shuffle, the values of a bucket are spread over SALT tasks while they are picked, and no task holds or sorts more than
+    a bounded number of distinct values.
+    """
+    # the bucket is never null, or the optimiser would test it, and so compute it, for every raw value
+    data = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(n).alias("n")).withColumn("hi", _bucket(F.col("x")))
+    first = _histogram(data, keys).select(*keys, "h", F.aggregate("h", F.lit(0).cast("bigint"), lambda a, b: a + b["n"]).alias("total"))
+    placed = F.array(*[F.struct(F.lit(name).alias("stat"), _placed(F.col("h"), rank).alias("at")) for name, rank in ranks.items()])
+    hit = _hit(first.select(*keys, F.inline(placed)), keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    inside = data.withColumn("salt", F.pmod(F.hash("x"), F.lit(SALT))).join(hit, [*keys, "hi", "salt"]).drop("salt")
+    by = list(keys)
+    for cut in range(CUTS):
+        large = F.col("kinds") > BOUND
+        part = F.floor((F.col("x") - F.col("lo")) / (F.col("up") - F.col("lo")) * (PARTS - 1)).cast("bigint")
+        by.append(f"b{cut}")  # ranks of one group may lie in several buckets
+        data = inside.withColumnRenamed("hi", by[-1]).withColumn("hi", F.when(large, F.coalesce(part, F.lit(0))).otherwise(0))
+        h = _histogram(data.where(large), by, ("w",))
+        cutted = F.transform("w", lambda r: F.struct(r["stat"].alias("stat"), _placed(F.col("h"), r["rank"]).alias("at")))
+        hit = _hit(h.select(*by, F.inline(cutted)), by).select(*by, "hi", *[F.col(c).alias(f"n_{c}") for c in ("kinds", "lo", "up", "w")])
+        data = data.join(hit, [*by, "hi"], "left").where(~large | F.col("n_kinds").isNotNull())
+        inside = data.select(*by, "hi", "x", "n", *[F.coalesce(f"n_{c}", c).alias(c) for c in ("kinds", "lo", "up", "w")])
+    fine = W.partitionBy(*by, "hi").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    inside = inside.withColumn("before", F.coalesce(F.sum("n").over(fine), F.lit(0)))
     got = inside.select(*keys, "x", "n", "before", F.inline("w").alias("stat", "rank")).where("rank >= before and rank < before + n")
     return got.groupBy(*keys).agg(*[F.max(F.when(F.col("stat") == name, F.col("x"))).alias(name) for name in ranks])
 
 
+def _hit(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, hi: the buckets that hold wanted ranks, with the ranks (w, an entry a rank) and the bucket's size and ends."""
+    b = placed.where("at.b is not null").groupBy(*keys, F.col("at.b.hi").alias("hi"))
+    return b.agg(F.max("at.b.kinds").alias("kinds"), F.max("at.b.lo").alias("lo"), F.max("at.b.up").alias("up"), F.array_sort(F.collect_list(F.struct("stat", F.col("at.rank").alias("rank")))).alias("w"))
+
+
 def quartiles(counts: DataFrame) -> DataFrame:
     """Median (mean of the middle two) and interquartile range v[3n/4] - v[n/4] of the numbers of each column and load."""
     total = F.col("total")
@@ -176,14 +203,15 @@ def quartiles(counts: DataFrame) -> DataFrame:
     return got.select("code", "feed_no", "load_no", ((F.col("m0") + F.col("m1")) / 2).alias("median_value"), (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
-def share_shift(counts: DataFrame) -> DataFrame:
+def share_shift(counts: DataFrame, codes: list[int]) -> DataFrame:
     """Half the sum of absolute differences of value shares, and the population stability index, against the load before.
 
-    counts: those of category columns. Each count adds its share to its own load and takes it from the next one, so the
-    comparison is an aggregation, not a join of value lists. Loads without values, or whose predecessor has none, are left
-    out. The index uses shares of at least 0.0001.
+    counts: those of all columns; codes: the category ones. Each count adds its share to its own load and takes it from the
+    next one, so the comparison is an aggregation, not a join of value lists. Loads without values, or whose predecessor has
+    none, are left out. The index uses shares of at least 0.0001.
     """
-    some = counts.where("lv is not null or dv is not null or sv is not null")
+    held = reduce(lambda a, b: a | b, [F.when(F.col("n") > 0, F.col(c)).isNotNull() for c in ("lv", "dv", "sv")])
+    some = _of(counts.where(held), codes, "lv", "dv", "sv")
     total = some.groupBy("code", "feed_no", "load_no").agg(F.sum("n").alias("total"))
     own = some.join(total, ["code", "feed_no", "load_no"]).withColumn("share", F.col("n") / F.col("total"))
     pair = F.array(
@@ -206,22 +234,25 @@ def profiles(tables: dict[str, DataFrame], column_spec: DataFrame) -> DataFrame:
     spec = declared(column_spec)
     codes = {(r.tbl, r.column_name): i for i, r in enumerate(spec)}
     key = ["code", "feed_no", "load_no"]
-    base = profile(value_counts(tables, spec, codes), spec, codes)
-    numbers = quartiles(number_counts(tables, spec, codes))
-    shifts = share_shift(value_counts(tables, spec, codes, lambda r: r.value_kind == "category"))
+    of = lambda kind: [codes[r.tbl, r.column_name] for r in spec if r.value_kind == kind]
+    counts = value_counts(tables, spec, codes)
+    base = profile(counts, spec, codes)
+    numbers = quartiles(number_counts(counts, of("number")))
+    shifts = share_shift(counts, of("category"))
     full = base.join(numbers, key, "left").join(shifts, key, "left")
     loads = W.partitionBy("code", "feed_no").orderBy("load_no")  # one row a load: profiles, not data
     follows = F.lag("load_no").over(loads) == F.col("load_no") - 1
     full = full.withColumns({f"prev_{c}": F.when(follows, F.lag(c).over(loads)) for c in ("row_count", "value_count", "unique_count", "median_value", "iqr")})
-    name = {k: F.element_at(F.array(*[F.lit(r[k]) for r in spec]), F.col("code") + 1) for k in ("tbl", "column_name", "value_kind")} if spec else {k: F.lit(None).cast("string") for k in ("tbl", "column_name", "value_kind")}
+    names = ("tbl", "column_name", "value_kind", "low", "high")
+    described = column_spec.sparkSession.createDataFrame([(i, r.tbl, r.column_name, r.value_kind, r.low, r.high) for i, r in enumerate(spec)], "code int, tbl string, column_name string, value_kind string, low double, high double")
     nulls = lambda p="": (F.col(f"{p}row_count") - F.col(f"{p}value_count")) / F.col(f"{p}row_count")
+    full = full.join(F.broadcast(described), "code", "left")  # at most MAX_SPEC_ROWS rows
     return full.select(
-        *[v.alias(k) for k, v in name.items()],
-        *[c for c in full.columns if c != "code"],
+        *names[:3],
+        *[c for c in full.columns if c not in ("code", *names)],
         (nulls() * 100).alias("null_percentage"),
         (nulls("prev_") * 100).alias("prev_null_percentage"),
-        _choice(spec, codes, "low", "double").alias("low"),
-        _choice(spec, codes, "high", "double").alias("high"),
+        *names[3:],
     )
 
 

@@ -19,6 +19,23 @@ def test_order_statistics_against_sorting(spark):
     assert "d" not in got
 
 
+def test_values_that_lie_in_one_bucket(spark, monkeypatch):
+    """Groups whose values share their leading bits are cut further, at any bound, and infinities have their own bucket."""
+    random.seed(2)
+    rows = [("near", 1000.0 + k * 1e-7) for k in range(400)] + [("out", 1.0 + k * 1e-12) for k in range(300)] + [("out", 1.24)] + [("few", 7.0)] * 9
+    rows += [("inf", x) for x in (float("inf"), float("-inf"), 1.7e308, 1.0, 2.0)] + [("wide", random.uniform(-1e6, 1e6)) for _ in range(300)]
+    counts = spark.createDataFrame(rows, "g string, x double").groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    total = F.col("total")
+    ranks = {"lo": F.lit(0), "q1": F.floor(total / 4), "m": F.floor(total / 2), "hi": total - 1}
+    for bound, parts in ((8, 16), (1, 4), (1000, 16)):
+        monkeypatch.setattr(Q, "BOUND", bound)
+        monkeypatch.setattr(Q, "PARTS", parts)
+        got = {r.g: (r.lo, r.q1, r.m, r.hi) for r in Q.order_statistics(counts, ["g"], "x", "n", ranks).collect()}
+        for g in ("near", "out", "few", "inf", "wide"):
+            v = sorted(x for k, x in rows if k == g)
+            assert got[g] == (v[0], v[len(v) // 4], v[len(v) // 2], v[-1]), (g, bound)
+
+
 def _run(spark, rows, info=(), spec=None):
     t = spark.createDataFrame(rows, "feed_no int, load_no int, c string, q int, tbl string")
     s = spark.createDataFrame(spec or [("t", "c", "TEXT", "[a-z]+", None, None, "category"), ("t", "q", "INTEGER", None, 1.0, 5.0, "number")], "tbl string, column_name string, type_name string, value_pattern string, low double, high double, value_kind string")
