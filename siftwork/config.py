@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 
+# Names and defaults of the settings.
 @dataclass(frozen=True)
 class Config:
     static_threshold: float = 0.8
@@ -34,7 +35,7 @@ class Config:
     max_csv_scan_rows: int = 10_000
     max_csv_max_distinct_per_column: int = 500_000
     max_zip_entry_uncompressed_bytes: int = 52_428_800
-    ignore_patterns: tuple[str, ...] = (".DS_Store", "Thumbs.db", "desktop.ini", "~$*", "*.tmp", "*.temp", "*.swp", "*.swo", "*.bak")
+    ignore_patterns: tuple[str, ...] = (".DS_Store", "Thumbs.db", "desktop.ini", "ehthumbs.db", "*.swp", "*.swo", "*.tmp", "*~", "~$*")
     ignore_hidden_files: bool = True
     small_file_threshold_bytes: int = 100_000
     large_file_threshold_bytes: int = 1_000_000

@@ -51,20 +51,16 @@ def escape_mark(text: Column) -> Column:
     return F.when(head.contains('\\"'), "\\").when(head.rlike(r'[^,;\t|\n]""|""[^,;\t|\n]'), '"')
 
 
-def is_pickle(content: Column) -> Column:
-    """Whether bytes look like a binary pickle: a protocol mark of 2 to 5, and a stop mark at the end of the first part."""
-    h = F.hex(F.substring(content, 1, 2))
-    return h.isin("8002", "8003", "8004", "8005")
-
-
 def all_placeholders(pattern: Column) -> Column:
     return F.forall(F.split(pattern, " "), lambda w: w.startswith("[") & w.endswith("]"))
 
 
 def sentence_stats(s: Column) -> Column:
-    """words, chars, whether it has quotes, and its end."""
+    """words, chars, whether it has quotes, its end, and its emphasis: question or exclamation, whichever mark comes last."""
     quotes = s.contains('"') | s.contains("'")
-    return F.struct(F.size(X.tokens(s)).alias("words"), F.length(s).alias("chars"), quotes.alias("quotes"), X.end_type(s).alias("end_type"))
+    last = F.regexp_extract(s, r"(?s)([?!])[^?!]*$", 1)
+    emphasis = F.when(last == "?", "question").when(last == "!", "exclamation").otherwise("none")
+    return F.struct(F.size(X.tokens(s)).alias("words"), F.length(s).alias("chars"), quotes.alias("quotes"), X.end_type(s).alias("end_type"), emphasis.alias("emphasis"))
 
 
 def affinity(declared: Column) -> Column:
@@ -83,15 +79,6 @@ def iso_date(pdf: Column) -> Column:
     return F.when(pdf.rlike(p), F.concat(g(1, ""), F.lit("-"), g(2, ""), F.lit("-"), g(3, ""), F.lit("T"), g(4, "00"), F.lit(":"), g(5, "00"), F.lit(":"), g(6, "00"), zone))
 
 
-def sample_rows(file_bytes: int, rows: int, columns: int, base: int = 10_000) -> int:
-    """Rows to sample of a table: all of a slim one, else the base, 2 % less a decade of size above 100 kB, at least 3 %."""
-    if rows <= 500_000 and file_bytes <= 64 << 20 and (rows == 0 or file_bytes / rows <= 2048):
-        return rows
-    decades = max(0, len(str(max(1, file_bytes // 100_000))) - 1)
-    share = max(0.03, 1 - 0.02 * decades)
-    return min(rows, max(1, int(base * share / max(1, columns / 256))))
-
-
 def timestamp_presence(line: Column) -> Column:
     """Whether a line holds a Unix time, or one to six words from one of its first six that are a date or time."""
     tok = X.tokens(line)

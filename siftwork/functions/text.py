@@ -13,6 +13,10 @@ SENTENCE_END = (
 )
 
 
+#: White space of any script, as in the Unicode property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def lines(text: Column) -> Column:
     """Lines, split at LF with one CR before it taken off; a final LF opens no line."""
     a = F.split(F.regexp_replace(text, r"\r?\n\z", ""), "\r?\n", -1)
@@ -26,7 +30,7 @@ def tokens(line: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text, trimmed."""
-    kept = F.filter(F.transform(lines(text), F.trim), lambda x: x.rlike(r"[\p{IsAlphabetic}\p{N}]"))
+    kept = F.filter(F.transform(lines(text), lambda s: F.btrim(s, F.lit(WHITE))), lambda x: x.rlike(r"[\p{IsAlphabetic}\p{N}]"))
     parts = F.split(F.array_join(kept, " "), SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")), lambda s: s != "")
 
@@ -53,10 +57,21 @@ def ngrams(tok: Column, low: int, high: int) -> Column:
 
 
 def placeholder(kind: str, i: Column) -> Column:
-    """[KIND_00]; numbers of more than two digits aren't cut."""
+    """[KIND_00]; numbers of more than two digits aren't cut. PREFIX and SUFFIX have none."""
+    if kind in ("PREFIX", "SUFFIX"):
+        return F.lit(f"[{kind}]")
     return F.format_string(f"[{kind}_%02d]", i.cast("int"))
 
 
+def is_end_mark(c: Column) -> Column:
+    """Whether a character ends sentences."""
+    return c.isin(".", "!", "?")
+
+
+def is_quote(c: Column) -> Column:
+    return c.isin('"', "'")
+
+
 def end_type(s: Column) -> Column:
     t = F.rtrim(s)
     return F.when(t.endswith("?"), "question").when(t.endswith("!"), "exclamation").otherwise("period")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Spellings and layouts that tell the types.
 BOOLEANS = ("true", "false", "yes", "no", "1", "0", "y", "n")
 TRUTHS = ("true", "yes", "1", "y")
 NULLS = ("", "null", "nil")
@@ -67,12 +68,12 @@ def cell_type(v: Column) -> Column:
     )
 
 
-def date_seconds(v: Column, year: int = 1970) -> Column:
-    """Seconds since 1970 UTC of a date or time text; year stands in where the text has none."""
+def date_seconds(v: Column, year: int | None = None) -> Column:
+    """Seconds since 1970 UTC of a date or time text; year, by default the current one, stands in where the text has none."""
     s = F.regexp_replace(F.regexp_replace(F.trim(v), r"^\[+|\]+$", ""), r"[,;:]+$", "")
     s = F.when(~F.lower(s).isin(*NULLS), s)
     iso = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    zoned = iso.rlike(r"T\d{2}:\d{2}:\d{2}(\.\d+)?([+-]\d{2}:\d{2}|[Zz])$")
+    zoned = s.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([+-]\d{2}:\d{2}|[Zz])$")
     plain = iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}:\d{2}(\.\d+)?)?$")
     head = F.regexp_extract(iso, r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T](\d{1,2}:\d{2}:\d{2}))?", 0)
     naive = lambda t, fmt: F.unix_seconds(F.try_to_timestamp(F.concat(t, F.lit(" +0000")), F.lit(fmt + " xx")))
@@ -80,9 +81,9 @@ def date_seconds(v: Column, year: int = 1970) -> Column:
     us = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), s)
     asctime = F.regexp_extract(s, r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})$", 0)
     asc = F.when(asctime != "", F.regexp_replace(asctime, r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})$", "$1 $2 $3 $4"))
-    sys_ = F.when(s.rlike(r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}(\.\d+)?$"), F.concat(F.regexp_replace(F.regexp_replace(s, r"\.\d+$", ""), r"\s+", " "), F.lit(f" {year}")))
+    sys_ = F.when(s.rlike(r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}(\.\d+)?$"), F.concat(F.regexp_replace(F.regexp_replace(s, r"\.\d+$", ""), r"\s+", " "), F.lit(" "), F.lit(str(year)) if year is not None else F.year(F.current_timestamp()).cast("string")))
     return F.coalesce(
-        F.when(zoned, F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.upper(iso), r"\.\d+", ""), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))),
+        F.when(zoned, F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.upper(s), r"\.\d+", ""), r"^(.{10}).", "$1T"), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))),
         F.when(plain, naive(both, "yyyy-M-d H:mm:ss")),
         F.when(us.isNotNull(), naive(F.concat(us, F.lit(" 00:00:00")), "M/d/yyyy HH:mm:ss")),
         F.when(asc.isNotNull(), naive(asc, "MMM d HH:mm:ss yyyy")),

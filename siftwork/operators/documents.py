@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.config import Config
+from siftwork.functions import text as X
 from siftwork.operators.mining import text_templates
 from siftwork.sources.containers import epub_parts
 from siftwork.sources.documents import html_text, markdown_blocks
@@ -29,19 +30,20 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def markdown_templates(df: DataFrame, key: str, text: str, config: Config = Config()) -> DataFrame:
-    """key, pattern, template_count: blocks by kind and level; a paragraph's marks are part of its pattern."""
+    """key, pattern, template_count, example: headers by level, list items by words and kind, paragraphs by words and quotes.
+    Other blocks aren't grouped. The example is the first one in order of the text, cut for paragraphs."""
     b = blocks(df, key, text)
-    quotes = F.col("text").contains('"') | F.col("text").contains("'")
-    emphasis = F.col("text").contains("*") | F.col("text").contains("_")
+    quotes = (F.col("text").contains('"') | F.col("text").contains("'")).cast("string")
+    words = F.size(X.tokens(F.col("text")))
+    kind = F.when(F.col("ordered"), "ordered").otherwise("unordered")
     pattern = (
         F.when(F.col("kind") == "header", F.format_string("[HEADER_%02d]", F.col("level")))
-        .when(F.col("kind") == "item", F.format_string("[LIST_%02d]:ordered=%s", F.col("level"), F.col("ordered").cast("string")))
-        .when(F.col("kind") == "code", F.concat(F.lit("[CODE]:language="), F.coalesce("language", F.lit("none"))))
-        .when(F.col("kind") == "quote", "[QUOTE]")
-        .when(F.col("kind") == "rule", "[RULE]")
-        .otherwise(F.concat(F.lit("[PARAGRAPH]:quotes="), quotes.cast("string"), F.lit(",emphasis="), emphasis.cast("string")))
+        .when(F.col("kind") == "item", F.format_string("[LIST_%02d]:type=%s", words, kind))
+        .when(F.col("kind") == "paragraph", F.format_string("[PARAGRAPH_%02d]:quotes=%s", words, quotes))
     )
-    return b.groupBy("key", pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("template_count"), F.min(F.substring("text", 1, config.markdown_preview_length)).alias("example"))
+    shown = F.when(F.col("kind") == "paragraph", F.substring("text", 1, config.markdown_preview_length)).otherwise(F.col("text"))
+    own = b.select("key", "block_no", pattern.alias("pattern"), shown.alias("shown")).where("pattern is not null")
+    return own.groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("template_count"), F.min_by("shown", "block_no").alias("example"))
 
 
 def html_texts(df: DataFrame, key: str, html: str) -> DataFrame:

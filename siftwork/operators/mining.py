@@ -13,9 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from siftwork.config import Config
+from siftwork.functions import onetext as O
 from siftwork.functions import shapes as S
 from siftwork.functions import text as X
 
@@ -68,33 +71,66 @@ def log_examples(lines: DataFrame, key: str, line: str, order: str, config: Conf
 
 
 def json_pairs(records: DataFrame, key: str, record: str, order: str) -> DataFrame:
-    """key, ord, jkey, kind, value: the fields of each JSON object; value is the text its frequency is counted by.
+    """key, ord, is_array, place, jkey, kind, value, shown, example: the fields of each JSON object or array, parsed once.
 
-    Text in quotes, numbers, booleans and null as they stand, [kind:length] for arrays, {n keys} for objects.
+    value is the text that a field's frequency is counted by: text in quotes, numbers, booleans and null as they stand,
+    [kind:length] for arrays, {n keys} for objects. shown is the text of patterns, with [n items] for arrays; example is text
+    without quotes. The items of an array are named by its place, or by the names in a column ``headers``, where there is
+    one and it isn't null.
     """
-    own = records.where(F.col(record).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(record).alias("doc"))
-    names = F.json_object_keys("doc")
-    each = own.where(names.isNotNull()).select("key", "ord", F.explode(names).alias("jkey"), "doc")
-    raw = F.to_json(F.try_variant_get(F.try_parse_json("doc"), F.lit("$"), "map<string,variant>")[F.col("jkey")])
-    each = each.withColumn("raw", raw).drop("doc")
+    header = F.col("headers") if "headers" in records.columns else F.lit(None).cast("array<string>")
+    own = records.where(F.col(record).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("ord"), F.try_parse_json(F.col(record)).alias("v"), header.alias("headers"))
+    named = F.map_entries(F.try_variant_get("v", F.lit("$"), "map<string,variant>"))
+    placed = F.try_variant_get("v", F.lit("$"), "array<variant>")
+    name = lambda i: F.when(F.col("headers").isNull(), F.format_string("pos_%02d", i)).otherwise(F.coalesce(F.get("headers", i), F.format_string("col_%02d", i)))
+    each = F.coalesce(named, F.transform(placed, lambda x, i: F.struct(name(i).alias("key"), x.alias("value"))))
+    own = own.select("key", "ord", placed.isNotNull().alias("is_array"), F.posexplode(each).alias("place", "e"))
+    own = own.select("key", "ord", "is_array", "place", F.col("e.key").alias("jkey"), F.to_json(F.col("e.value")).alias("raw"), F.try_variant_get("e.value", F.lit("$"), "string").alias("s"))
     c = F.substring("raw", 1, 1)
-    kind = F.when(c == '"', "str").when(c == "[", "array").when(c == "{", "object").when(c.isin("t", "f"), "bool").when(c == "n", "null").otherwise("num")
+    of = lambda c: F.when(c == '"', "str").when(c == "[", "array").when(c == "{", "object").when(c.isin("t", "f"), "bool").when(c == "n", "null").otherwise("num")
     n = F.json_array_length("raw")
     inner = F.substring(F.ltrim(F.substring(F.col("raw"), F.lit(2), F.length("raw"))), 1, 1)
-    of = F.when(n == 0, "empty").when(inner == '"', "str").when(inner == "[", "array").when(inner == "{", "object").when(inner.isin("t", "f"), "bool").when(inner == "n", "null").otherwise("num")
-    value = F.when(kind == "array", F.format_string("[%s:%d]", of, n)).when(kind == "object", F.format_string("{%d keys}", F.size(F.json_object_keys("raw")))).otherwise(F.col("raw"))
-    return each.select("key", "ord", "jkey", kind.alias("kind"), value.alias("value"), "raw")
+    short = F.when(of(inner) == "array", "arr").when(of(inner) == "object", "obj").otherwise(of(inner))
+    kind, keys = of(c), F.size(F.json_object_keys("raw"))
+    plain = F.when(kind == "str", F.concat(F.lit('"'), "s", F.lit('"'))).when(kind == "object", F.when(keys == 0, "{}").otherwise(F.format_string("{%d keys}", keys))).otherwise(F.col("raw"))
+    value = F.when(kind == "array", F.when(n == 0, "[]").otherwise(F.format_string("[%s:%d]", short, n))).otherwise(plain)
+    shown = F.when(kind == "array", F.when(n == 0, "[]").otherwise(F.format_string("[%d items]", n))).otherwise(plain)
+    example = F.when(kind == "str", F.col("s")).otherwise(F.col("raw"))
+    return own.select("key", "ord", "is_array", "place", "jkey", kind.alias("kind"), value.alias("value"), shown.alias("shown"), example.alias("example"))
+
+
+def _json_rows(records: DataFrame, key: str, record: str, order: str) -> DataFrame:
+    """key, ord, doc of the records that are JSON."""
+    own = records.where(F.col(record).isNotNull() & F.try_parse_json(F.col(record)).isNotNull())
+    return own.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.ltrim(record).alias("doc"))
 
 
 def json_patterns(records: DataFrame, key: str, record: str, order: str, config: Config = DEFAULT) -> DataFrame:
-    """key, ord, pattern: objects with fields of frequent values as they are and [name_VALUE] elsewhere."""
+    """key, ord, pattern: records with fields of frequent values as they are and [VALUE] elsewhere; objects by name, arrays
+    by place; a scalar, an empty object and an empty array are patterns of their own.
+
+    A static value fills most records of its source, so values aren't joined to it by themselves: the static values of a
+    source come as one map, bounded by its fields, to each of its records.
+    """
+    rows = _json_rows(records, key, record, order)
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_records"))
     pairs = json_pairs(records, key, record, order)
-    size = records.where(F.col(record).isNotNull() & F.json_object_keys(record).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n_records"))
     freq = pairs.groupBy("key", "jkey", "value").agg(F.count(F.lit(1)).alias("n"))
-    static = freq.join(size, "key").where(F.col("n") >= F.floor(F.col("n_records") * config.static_threshold)).select("key", "jkey", "value", F.lit(True).alias("static"))
-    shown = F.when(F.col("static"), F.concat(F.lit('"'), F.col("jkey"), F.lit('": '), F.col("value"))).otherwise(F.concat(F.lit('"'), F.col("jkey"), F.lit('": ['), F.col("jkey"), F.lit("_VALUE]")))
-    part = pairs.join(static, ["key", "jkey", "value"], "left").groupBy("key", "ord").agg(F.array_sort(F.collect_list(shown)).alias("parts"))  # the fields of one record
-    return part.select("key", "ord", F.concat(F.lit("{"), F.array_join("parts", ", "), F.lit("}")).alias("pattern"))
+    static = freq.join(size, "key").where(F.col("n") >= F.floor(F.col("n_records") * config.static_threshold))
+    # at thresholds above one half a field has one static value; lower ones may have some more
+    maps = static.groupBy("key").agg(F.collect_set(F.struct("jkey", "value")).alias("static"))
+    field = F.struct("place", "jkey", "value", "shown")
+    whole = pairs.groupBy("key", "ord", "is_array").agg(F.collect_list(field).alias("f"))  # the fields of one record
+    whole = whole.join(maps, "key", "left")
+    known = lambda f: F.coalesce(F.array_contains("static", F.struct(f["jkey"].alias("jkey"), f["value"].alias("value"))), F.lit(False))
+    part = lambda f: F.concat(F.lit('"'), f["jkey"], F.lit('": '), F.when(known(f), f["shown"]).otherwise("[VALUE]"))
+    by_name = F.array_sort(F.transform("f", lambda f: F.struct(f["jkey"].alias("o"), part(f).alias("p"))))
+    by_place = F.array_sort(F.transform("f", lambda f: F.struct(f["place"].alias("o"), part(f).alias("p"))))
+    body = lambda a: F.array_join(F.transform(a, lambda x: x["p"]), ", ")
+    shown = F.when(F.col("is_array"), F.concat(F.lit("["), body(by_place), F.lit("]"))).otherwise(F.concat(F.lit("{"), body(by_name), F.lit("}")))
+    whole = whole.select("key", "ord", shown.alias("pattern"))
+    bare = F.when(F.col("doc").startswith("{"), F.when(F.size(F.json_object_keys("doc")) == 0, "{}")).when(F.col("doc").startswith("["), F.when(F.json_array_length("doc") == 0, "[]")).otherwise("[VALUE]")
+    return whole.unionByName(rows.select("key", "ord", bare.alias("pattern")).where("pattern is not null"))
 
 
 def json_templates(records: DataFrame, key: str, record: str, order: str, config: Config = DEFAULT) -> DataFrame:
@@ -104,14 +140,16 @@ def json_templates(records: DataFrame, key: str, record: str, order: str, config
 
 def json_examples(records: DataFrame, key: str, record: str, order: str, config: Config = DEFAULT) -> DataFrame:
     """key, pattern, placeholder, example_no, example: the first distinct values of each field, static ones too, over the
-    first records of each template."""
+    first records of each template; those of scalars under VALUE."""
     p = json_patterns(records, key, record, order, config)
     p = p.withColumn("k", F.row_number().over(W.partitionBy("key", "pattern").orderBy("ord"))).where(F.col("k") <= config.max_sample_lines)
-    text = F.when(F.col("kind") == "str", F.try_variant_get(F.try_parse_json("raw"), F.lit("$"), "string")).otherwise(F.col("raw"))
-    each = json_pairs(records, key, record, order).select("key", "ord", "jkey", text.alias("example")).join(p, ["key", "ord"])
-    seen = each.groupBy("key", "pattern", "jkey", "example").agg(F.min("k").alias("k"))
-    seen = seen.withColumn("example_no", F.row_number().over(W.partitionBy("key", "pattern", "jkey").orderBy("k", "example")))
-    return seen.where(F.col("example_no") <= config.max_examples_per_placeholder).select("key", "pattern", F.concat("jkey", F.lit("_VALUE")).alias("placeholder"), "example_no", "example")
+    each = json_pairs(records, key, record, order).select("key", "ord", F.concat("jkey", F.lit("_VALUE")).alias("placeholder"), "example")
+    rows = _json_rows(records, key, record, order).where(~F.col("doc").startswith("{") & ~F.col("doc").startswith("["))
+    scalar = F.coalesce(F.when(F.col("doc").startswith('"'), F.try_variant_get(F.try_parse_json("doc"), F.lit("$"), "string")), F.to_json(F.try_parse_json("doc")))
+    each = each.unionByName(rows.select("key", "ord", F.lit("VALUE").alias("placeholder"), scalar.alias("example"))).join(p, ["key", "ord"])
+    seen = each.groupBy("key", "pattern", "placeholder", "example").agg(F.min("k").alias("k"))
+    seen = seen.withColumn("example_no", F.row_number().over(W.partitionBy("key", "pattern", "placeholder").orderBy("k", "example")))
+    return seen.where(F.col("example_no") <= config.max_examples_per_placeholder).select("key", "pattern", "placeholder", "example_no", "example")
 
 
 def ngram_counts(sentences: DataFrame, key: str, tokens: str, config: Config = DEFAULT) -> DataFrame:
@@ -131,14 +169,18 @@ def sentence_table(documents: DataFrame, key: str, text: str) -> DataFrame:
     return own.withColumn("tokens", X.tokens(F.col("sentence")))
 
 
-def pivots(sentences: DataFrame, key: str, tokens: str, config: Config = DEFAULT) -> DataFrame:
-    """key, pos, word, n, variation: frequent words at a position that are followed by several different words."""
-    arr = F.transform(tokens, lambda t: X.normal_token(t))
-    own = sentences.select(F.col(key).alias("key"), arr.alias("w"))
-    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n_sentences"))
+def successors(sentences: DataFrame, key: str, tokens: str) -> DataFrame:
+    """key, pos, word, next: each normalised word with the one behind it, null at the end or where that has no letter or digit."""
+    own = sentences.select(F.col(key).alias("key"), F.transform(tokens, lambda t: X.normal_token(t)).alias("w"))
     each = own.select("key", "w", F.posexplode("w").alias("pos", "word")).where("word <> ''")
     nxt = F.get("w", F.col("pos") + 1)
-    each = each.select("key", "pos", "word", F.when(nxt != "", nxt).alias("next"))
+    return each.select("key", "pos", "word", F.when(nxt != "", nxt).alias("next"))
+
+
+def pivots(sentences: DataFrame, key: str, tokens: str, config: Config = DEFAULT) -> DataFrame:
+    """key, pos, word, n, variation: frequent words at a position that are followed by several different words."""
+    sizes = sentences.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n_sentences"))
+    each = successors(sentences, key, tokens)
     # two steps: pairs first, so that a frequent word's successors are combined before they meet
     step = each.groupBy("key", "pos", "word", "next").agg(F.count(F.lit(1)).alias("n"))
     got = step.groupBy("key", "pos", "word").agg(F.sum("n").alias("n"), F.count("next").alias("variation"))
@@ -172,11 +214,11 @@ def top_pivots(found: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def footprint(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Writing footprint of each document: distinct over all words, words a sentence, and shares of punctuation."""
+    """Writing footprint of each document: distinct over all words, and words and punctuation of its full sentences."""
     own = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     trim = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
     words = F.filter(F.transform(X.tokens(F.col("text")), lambda t: F.regexp_replace(t, trim, "")), lambda t: t != "")
-    d = own.select("key", words.alias("w"), X.sentences(F.col("text")).alias("s"))
+    d = own.select("key", words.alias("w"), F.filter(X.sentences(F.col("text")), lambda s: X.is_full_sentence(s)).alias("s"))
     n = F.size("s")
     total = lambda f: F.aggregate(F.transform("s", f), F.lit(0), lambda a, x: a + x)
     share = lambda cond: F.when(n > 0, 100.0 * F.size(F.filter("s", cond)) / n).otherwise(0.0)
@@ -206,22 +248,35 @@ def text_patterns(documents: DataFrame, key: str, text: str, config: Config = DE
     return j.select("key", "sent_no", "tokens", X.greedy_pattern(F.col("tokens"), F.col("frequent"), config.min_ngram_size, config.max_ngram_size).alias("pattern"))
 
 
-def _kept(groups: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
-    """Groups of at least two (or the threshold's) sentences whose pattern isn't overlong."""
-    least = F.greatest(F.floor(F.col("n_sentences") * config.text_threshold), F.lit(2))
-    return groups.join(sizes, "key").where((F.col("template_count") >= least) & (F.size(F.split("pattern", " ")) <= 2 * F.floor("avg_len")))
+#: Bytes up to which a document is mined in one pass by one task; its templates depend on nothing outside it.
+LOCAL = 4 << 20
 
 
 def text_templates(documents: DataFrame, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
-    """key, pattern, template_count, fallback: templates of each document's sentences; where no pattern repeats, sentences
-    are grouped by their number of words instead."""
-    p = text_patterns(documents, key, text, config)
-    sizes = p.groupBy("key").agg(F.count(F.lit(1)).alias("n_sentences"), F.avg(F.size("tokens")).alias("avg_len"))
-    exact = _kept(p.groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("template_count")), sizes, config).select("key", "pattern", "template_count", F.lit(False).alias("fallback"))
-    shape = F.array_join(F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: X.placeholder("WORD", i)), " ")
-    coarse = _kept(p.select("key", shape.alias("pattern")).groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("template_count")), sizes, config)
-    coarse = coarse.join(exact.select("key").distinct(), "key", "left_anti").select("key", "pattern", "template_count", F.lit(True).alias("fallback"))
-    return exact.unionByName(coarse)
+    """key, pattern, template_count, fallback, examples: templates of each document's full sentences, with examples by
+    placeholder and with the entropy behind the pattern where it is shown; where no pattern repeats, sentences are grouped by
+    their number of words instead (fallback).
+
+    Documents up to LOCAL bytes are mined where they are read, in one pass; larger ones are spread by sentence and n-gram
+    (`templates_with_examples`). Both give the same templates.
+    """
+    own = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = f"key {dict(documents.dtypes)[key]}, pattern string, template_count bigint, fallback boolean, examples map<string,array<string>>"
+
+    schema = to_arrow_schema(StructType.fromDDL(out))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                rows += [{"key": k, "pattern": p, "template_count": n, "fallback": f, "examples": list(e.items())} for p, n, e, f in O.mine_text(t, config)[0]]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    wide = F.octet_length("text") > LOCAL
+    large = own.where(wide).repartition("key")  # one exchange for all that read it
+    return own.where(~wide).mapInArrow(run, out).unionByName(templates_with_examples(large, "key", "text", config))
 
 
 def example_counts(examples: DataFrame, keys: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -231,8 +286,8 @@ def example_counts(examples: DataFrame, keys: list[str], config: Config = DEFAUL
 
 
 def templates_with_examples(documents: DataFrame, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
-    """key, pattern, template_count, fallback, examples: `text_templates` with the number of examples that the first sentences
-    of each give, and with the entropy behind the pattern where it is shown.
+    """key, pattern, template_count, fallback, examples: `text_templates` with the examples that the first sentences of each
+    give, by placeholder, and with the entropy behind the pattern where it is shown.
 
     Patterns of placeholders only have examples at each token with a letter or digit, others at their placeholders. The
     patterns are dear, so they are made once and dealt out by document, and all counts are windows over them.
@@ -254,29 +309,36 @@ def templates_with_examples(documents: DataFrame, key: str, text: str, config: C
     places = F.transform(F.regexp_extract_all("pattern", F.lit(r"(?:^| )\[WORD_(\d+)\](?= |$)"), F.lit(1)), lambda x: x.cast("int"))
     places = F.when(open_, F.sequence(F.lit(0), F.size(F.col("some")[0]) - 1)).otherwise(places)
     worth = lambda x: x.isNotNull() & (~open_ | x.rlike(r"[\p{IsAlphabetic}\p{N}]"))
-    sizes = F.transform(places, lambda i: F.size(F.array_distinct(F.filter(F.transform("some", lambda t: F.get(t, i)), worth))))
-    t = t.withColumn("n", F.filter(sizes, lambda n: n > 0))
-    of = lambda f: F.aggregate("n", F.lit(0.0), lambda a, n: a + f(n))
+    # a pattern numbers its placeholders by token, its examples are numbered in sequence; for open patterns both are the same
+    lists = F.transform(places, lambda i, k: F.struct(F.format_string("WORD_%02d", F.when(open_, i).otherwise(k)).alias("key"), F.array_distinct(F.filter(F.transform("some", lambda t: F.get(t, i)), worth)).alias("value")))
+    t = t.withColumn("examples", F.map_from_entries(F.filter(lists, lambda x: F.size(x["value"]) > 0)))
+    t = t.withColumn("n", F.transform(F.map_values("examples"), lambda x: F.size(x)))
     bound = F.lit(float(config.entropy_small_sample_threshold))
-    entropy_ = of(lambda n: F.when(n <= 1, 0.0).otherwise(F.least(n / bound, F.lit(1.0)))) / F.size("n")
+    entropy_ = F.aggregate("n", F.lit(0.0), lambda a, n: a + F.when(n <= 1, 0.0).otherwise(F.least(n / bound, F.lit(1.0)))) / F.size("n")
     t = t.withColumn("entropy", F.when(F.size("n") > 0, entropy_).otherwise(0.0))
     shown = (F.col("template_count") >= config.min_entropy_sample_size) & (F.col("entropy") > config.min_entropy_display) & (F.col("entropy") < config.max_entropy_display)
-    tagged = F.when(shown, F.format_string("%s [entropy=%.2f]", "pattern", "entropy")).otherwise(F.col("pattern"))
-    examples = of(lambda n: F.least(n, F.lit(min(config.max_examples_per_placeholder, 5)))).cast("bigint")
-    return t.select("key", tagged.alias("pattern"), "template_count", "fallback", examples.alias("examples"))
+    tagged = F.when(shown, F.format_string("%s [entropy=%.2f]", "pattern", F.bround("entropy", 2))).otherwise(F.col("pattern"))
+    return t.select("key", tagged.alias("pattern"), "template_count", "fallback", "examples")
 
 
-def footprint_tokens(documents: DataFrame, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
-    """key, footprint_tokens of the documents that are mined, those with a full sentence: the base, the subject-verb-object
-    metrics, and the different words that are the first pivot of a sentence, max_common_pivots at most."""
-    s = sentence_table(documents, key, text)
-    each = s.select("key", "sent_no", F.posexplode(F.transform("tokens", lambda t: X.normal_token(t))).alias("pos", "word"))
-    hit = each.join(pivots(s, "key", "tokens", config).select("key", "pos", "word"), ["key", "pos", "word"], "left_semi")
-    first = hit.groupBy("key", "sent_no").agg(F.min(F.struct("pos", "word"))["word"].alias("word"))
-    words = first.groupBy("key").agg(F.least(F.countDistinct("word"), F.lit(config.max_common_pivots)).alias("n"))
-    mined = s.where(X.is_full_sentence(F.col("sentence"))).select("key").distinct()
-    fixed = config.footprint_base_overhead_tokens + config.footprint_svo_metrics_tokens
-    return mined.join(words, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + fixed).alias("footprint_tokens"))
+def pattern_tokens(pattern: Column) -> Column:
+    return F.size(F.filter(F.split(pattern, r"\s+"), lambda t: t != ""))
+
+
+def example_total(examples: Column, config: Config = DEFAULT) -> Column:
+    """Examples of a template, five a placeholder at most."""
+    return F.aggregate(F.map_values(examples), F.lit(0), lambda a, x: a + F.least(F.size(x), F.lit(min(config.max_examples_per_placeholder, 5))))
+
+
+def common_pivots(sentences: DataFrame, key: str, order: str, tokens: str, config: Config = DEFAULT) -> DataFrame:
+    """key and common_pivots: the words that are most often the first pivot of a sentence, max_common_pivots at most."""
+    own = sentences.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(tokens).alias("tok"))
+    each = own.select("key", "ord", F.posexplode(F.transform("tok", lambda t: X.normal_token(t))).alias("pos", "word"))
+    hit = each.join(pivots(own, "key", "tok", config).select("key", "pos", "word"), ["key", "pos", "word"], "left_semi")
+    first = hit.groupBy("key", "ord").agg(F.min(F.struct("pos", "word"))["word"].alias("word"))
+    n = first.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
+    top = n.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "word"))).where(F.col("k") <= config.max_common_pivots)
+    return top.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("common_pivots"))
 
 
 def compression(templates: DataFrame, originals: DataFrame, config: Config = DEFAULT, footprints: DataFrame | None = None) -> DataFrame:
@@ -287,7 +349,7 @@ def compression(templates: DataFrame, originals: DataFrame, config: Config = DEF
     no compressed tokens and no reduction.
     """
     examples = F.coalesce(F.col("examples"), F.lit(0)) if "examples" in templates.columns else F.lit(0)
-    used = templates.groupBy("key").agg(F.sum(F.size(F.filter(F.split("pattern", r"\s+"), lambda t: t != "")) + examples).alias("t"))
+    used = templates.groupBy("key").agg(F.sum(pattern_tokens(F.col("pattern")) + examples).alias("t"))
     own = originals.join(used, "key", "left")
     total = F.coalesce("t", F.lit(0)) + config.json_overhead_tokens
     mined = F.lit(True)

@@ -15,7 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from siftwork.config import Config
 from siftwork.functions import typecheck as T
 from siftwork.functions.calendar import second_text, wall_micros
 from siftwork.operators.quality import order_statistics
@@ -44,97 +46,159 @@ def cell_counts(df: DataFrame, columns: list[str] | None = None, keys: list[str]
     return cells(df, columns, keys).groupBy(*(keys or []), "col_idx", "col_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _kind_sums(prefix: str = "k_") -> list[Column]:
+    """Rows of each kind of cell, over counts with columns value and n."""
+    kind = T.cell_type(F.col("value"))
+    return [F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0)).alias(prefix + k) for k in T.PRIORITY]
+
+
+def _winner(prefix: str = "k_") -> Column:
+    """The kind that most cells have, by the sums of `_kind_sums`."""
+    each = lambda kinds: F.array_max(F.array(*[F.struct(F.col(prefix + k).alias("n"), F.lit(T.PRIORITY.index(k)).alias("p"), F.lit(k).alias("k")) for k in kinds]))["k"]
+    mixed = reduce(lambda a, b: a + b, [F.col(prefix + k) for k in T.PRIORITY if k not in ("boolean", "null")]) > 0
+    first = each(T.PRIORITY)
+    return F.when((first == "boolean") & mixed, each([k for k in T.PRIORITY if k != "boolean"])).otherwise(first)
+
+
 def inferred_types(counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys and type: the kind most cells have. A boolean winner gives way to the best other kind when some cell that
     isn't null is no boolean."""
-    kinds = counts.groupBy(*keys, T.cell_type(F.col("value")).alias("kind")).agg(F.sum("n").alias("n"))
-    prio = reduce(lambda a, kv: a.when(F.col("kind") == kv[1], kv[0]), list(enumerate(T.PRIORITY))[1:], F.when(F.col("kind") == T.PRIORITY[0], 0))
-    best = lambda cond: F.max_by(F.when(cond, F.col("kind")), F.when(cond, F.struct("n", prio)))
-    got = kinds.groupBy(*keys).agg(
-        best(F.lit(True)).alias("first"),
-        best(F.col("kind") != "boolean").alias("other"),
-        F.max(F.when(~F.col("kind").isin("boolean", "null"), 1).otherwise(0)).alias("mixed"),
-    )
-    return got.select(*keys, F.when((F.col("first") == "boolean") & (F.col("mixed") == 1), F.col("other")).otherwise(F.col("first")).alias("type"))
+    return counts.groupBy(*keys).agg(*_kind_sums()).select(*keys, _winner().alias("type"))
 
 
-def numeric_stats(df: DataFrame, keys: list[str], value: str, n: str | None = None) -> DataFrame:
-    """Count, min, max, mean, median (midpoint), range, iqr (s[3n/4] - s[n/4]) and sample deviation of the numbers.
+def _numbers(counts: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, x, n of the finite numbers. The tests name n, an aggregate of the counts, so that they stay above the shuffle of
+    the counts and all users of these share it."""
+    here = lambda c: F.when(F.col("n") > 0, c)
+    return counts.select(*[here(F.col(k)).alias(k) for k in keys], here(value).alias("x"), "n").where(F.abs("x") < float("inf"))
 
-    n: column with the weight of a row; without it, equal values are counted first. The deviation of one value is null.
-    """
-    x = F.col(value).cast("double")
-    own = df.select(*keys, x.alias("x"), (F.col(n) if n else F.lit(1)).alias("n")).where(x.isNotNull() & ~F.isnan(x))
-    counts = own.groupBy(*keys, "x").agg(F.sum("n").alias("n"))
-    base = counts.groupBy(*keys).agg(
-        F.sum("n").alias("value_count"),
-        F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"),
-        (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean_value"),
-        F.sum("n").alias("w"),
-    )
-    spread = counts.join(base.select(*keys, "mean_value"), keys).groupBy(*keys).agg(F.sum(F.pow(F.col("x") - F.col("mean_value"), 2) * F.col("n")).alias("ss")) if keys else None
+
+def _moments(x: Column, n: Column) -> list[Column]:
+    held = x.isNotNull()
+    return [
+        F.coalesce(F.sum(F.when(held, n)), F.lit(0)).alias("value_count"),
+        F.min(x).alias("min_value"),
+        F.max(x).alias("max_value"),
+        (F.sum(x * n) / F.sum(F.when(held, n))).alias("mean_value"),
+    ]
+
+
+def _spread_and_order(numbers: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """base with median, iqr and sample deviation of the numbers (keys, x, n), of which base holds the mean."""
     total = F.col("total")
     ranks = {"m0": F.floor((total - 1) / 2), "m1": F.floor(total / 2), "q1": F.floor(total / 4), "q3": F.floor(3 * total / 4)}
-    order = order_statistics(counts, keys, "x", "n", ranks)
-    if spread is None:
+    order = order_statistics(numbers, keys, "x", "n", ranks)
+    squares = numbers.join(base.select(*keys, "mean_value"), keys).groupBy(*keys).agg(F.sum(F.pow(F.col("x") - F.col("mean_value"), 2) * F.col("n")).alias("ss"))
+    return base.join(order, keys, "left").join(squares, keys, "left")
+
+
+def _figures() -> dict[str, Column]:
+    return {
+        "min_value": F.col("min_value"),
+        "max_value": F.col("max_value"),
+        "mean_value": F.col("mean_value"),
+        "median_value": (F.col("m0") + F.col("m1")) / 2,
+        "value_range": F.col("max_value") - F.col("min_value"),
+        "iqr": F.col("q3") - F.col("q1"),
+        "stdev": F.when(F.col("value_count") > 1, F.sqrt(F.col("ss") / (F.col("value_count") - 1))),
+    }
+
+
+def numeric_stats(df: DataFrame, keys: list[str], value: str, n: str | None = None) -> DataFrame:
+    """Count, min, max, mean, median (midpoint), range, iqr (s[3n/4] - s[n/4]) and sample deviation of the finite numbers.
+
+    n: column with the weight of a row; without it, equal values are counted first. The deviation of one value is null;
+    groups without a finite number are left out.
+    """
+    if not keys:
         raise ValueError("numeric_stats needs at least one key")
-    out = base.join(order, keys).join(spread, keys)
-    return out.select(
-        *keys,
-        "value_count",
-        "min_value",
-        "max_value",
-        "mean_value",
-        ((F.col("m0") + F.col("m1")) / 2).alias("median_value"),
-        (F.col("max_value") - F.col("min_value")).alias("value_range"),
-        (F.col("q3") - F.col("q1")).alias("iqr"),
-        F.when(F.col("value_count") > 1, F.sqrt(F.col("ss") / (F.col("value_count") - 1))).alias("stdev"),
-    )
+    own = df.select(*keys, F.col(value).cast("double").alias("value"), (F.col(n) if n else F.lit(1)).alias("w"))
+    counts = own.groupBy(*keys, "value").agg(F.sum("w").alias("n"))
+    numbers = _numbers(counts, keys, F.col("value"))
+    base = numbers.groupBy(*keys).agg(*_moments(F.col("x"), F.col("n")))
+    return _spread_and_order(numbers, base, keys).select(*keys, "value_count", *[c.alias(k) for k, c in _figures().items()])
 
 
-def simple_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, null share, distincts, lengths in bytes, share of true values and dates of each column."""
+def _simple() -> list[Column]:
+    """Rows, null share, distincts, lengths in bytes, share of true values and dates, over counts with value and n."""
     v, n = F.col("value"), F.col("n")
     null = T.is_null_like(v)
     some = lambda cond, x=n: F.sum(F.when(cond, x))
     dated = v.rlike(r"\d[-/:]\d|[A-Za-z]{3}\s+\d")  # parsing is dear, so only what may be a date is parsed
     secs = F.coalesce(T.unix_seconds(v), F.when(dated, T.date_seconds(v)))
-    return counts.withColumns({"__secs": secs, "__null": null}).groupBy(*keys).agg(
+    return [
         F.sum("n").alias("row_count"),
-        (100.0 * F.coalesce(some(F.col("__null")), F.lit(0)) / F.sum("n")).alias("null_percentage"),
-        F.count(F.when(~F.col("__null"), 1)).alias("unique_count"),
-        F.min(F.when(~F.col("__null"), F.octet_length(v))).alias("min_length"),
-        F.max(F.when(~F.col("__null"), F.octet_length(v))).alias("max_length"),
-        (some(~F.col("__null"), F.octet_length(v) * n) / some(~F.col("__null"))).alias("avg_length"),
-        (100.0 * some(~F.col("__null") & T.is_true(v)) / some(~F.col("__null"))).alias("true_percentage"),
-        F.min(F.when(~F.col("__null"), F.col("__secs"))).alias("min_seconds"),
-        F.max(F.when(~F.col("__null"), F.col("__secs"))).alias("max_seconds"),
-    )
+        (100.0 * F.coalesce(some(null), F.lit(0)) / F.sum("n")).alias("null_percentage"),
+        F.count(F.when(~null, 1)).alias("unique_count"),
+        F.min(F.when(~null, F.octet_length(v))).alias("min_length"),
+        F.max(F.when(~null, F.octet_length(v))).alias("max_length"),
+        (some(~null, F.octet_length(v) * n) / some(~null)).alias("avg_length"),
+        (100.0 * some(~null & T.is_true(v)) / some(~null)).alias("true_percentage"),
+        F.min(F.when(~null, secs)).alias("min_seconds"),
+        F.max(F.when(~null, secs)).alias("max_seconds"),
+    ]
+
+
+def simple_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows, null share, distincts, lengths in bytes, share of true values and dates of each column."""
+    return counts.groupBy(*keys).agg(*_simple())
+
+
+def capped_distinct(counts: DataFrame, keys: list[str], most: int = Config.max_csv_max_distinct_per_column) -> DataFrame:
+    """keys and unique_count: different values that aren't null-like, reported up to ``most``; capped tells where it was cut."""
+    n = F.count(F.when(~T.is_null_like(F.col("value")), 1))
+    return counts.groupBy(*keys).agg(F.least(n, F.lit(most)).alias("unique_count"), (n > most).alias("capped"))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """tbl and row_count of each table, an empty one too; only footers are read where the source has them."""
+    each = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("tbl"), "row_count") for t, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def blob_stats(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Smallest, largest and mean size in bytes of the values that aren't null."""
+    n = F.octet_length(column)
+    return df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.avg(n).alias("avg_size"))
+
+
+def tagged_union(parts: dict[str, DataFrame], tag: str) -> DataFrame:
+    """The rows of all parts, each with the name of its part; columns that a part lacks are null in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(tag, F.lit(k)) for k, df in parts.items()])
+
+
+def first_of_groups(df: DataFrame, keys: list[str], order: list, most: int, name: str = "k") -> DataFrame:
+    """The first ``most`` rows of each group in an order, numbered from 1. Ties should be settled by the order."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most)
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
-    """One row per column: its inferred type, null share, and the statistics of that type; unique_count for text only."""
+    """One row per column: its inferred type, null share, and the statistics of that type; unique_count for text only.
+
+    One pass counts the values of all columns; types, plain statistics and moments come from one aggregation of those counts.
+    """
     by = [*(keys or []), "col_idx", "col_name"]
     counts = cell_counts(df, columns, keys)
-    types = inferred_types(counts, by)
-    numbers = numeric_stats(counts.withColumn("x", T.as_number(F.col("value"))), by, "x", "n")
-    full = simple_stats(counts, by).join(types, by).join(numbers, by, "left")
+    number = T.as_number(F.col("value"))
+    finite = F.when(F.abs(number) < float("inf"), number)
+    base = counts.groupBy(*by).agg(*_kind_sums(), *_simple(), *_moments(finite, F.col("n"))).withColumn("type", _winner())
+    full = _spread_and_order(_numbers(counts, by, number), base, by)
     kind = F.col("type")
-    of = lambda name, *kinds: F.when(kind.isin(*kinds), F.col(name)).alias(name)
+    of = lambda c, name, *kinds: F.when(kind.isin(*kinds), c).alias(name)
     dated = kind.isin("date", "timestamp")
     return full.select(
         *by,
         kind,
         "row_count",
         "null_percentage",
-        of("unique_count", "string"),
-        *[of(c, "number") for c in ("min_value", "max_value", "mean_value", "median_value", "value_range", "iqr", "stdev")],
-        of("true_percentage", "boolean"),
-        *[of(c, "string") for c in ("min_length", "max_length", "avg_length")],
+        of(F.col("unique_count"), "unique_count", "string"),
+        *[of(c, k, "number") for k, c in _figures().items()],
+        of(F.col("true_percentage"), "true_percentage", "boolean"),
+        *[of(F.col(c), c, "string") for c in ("min_length", "max_length", "avg_length")],
         F.when(dated, second_text(F.col("min_seconds"))).alias("min_date"),
         F.when(dated, second_text(F.col("max_seconds"))).alias("max_date"),
         F.when(dated, (F.col("max_seconds") - F.col("min_seconds")) / 86400.0).alias("span_days"),
+        F.when(dated, (F.col("max_seconds") - F.col("min_seconds")) / 60.0).alias("span_minutes"),
     )
 
 
@@ -173,13 +237,17 @@ def sparse_moments(df: DataFrame, row: str, column: str, value: str, rows: int)
     )
 
 
-def plane_stats(df: DataFrame, keys: list[str], values: str, shape: tuple[int, int, int], axis: int | None = None) -> DataFrame:
-    """Statistics of each plane of a flattened rank-3 array (C order) along an axis: count, NaN and infinite counts, and
-    min, max, mean and population deviation of the finite values. The axis defaults to the first longest one."""
+def plane_stats(df: DataFrame, keys: list[str], values: str, shape: tuple[int, int, int], axis: int | None = None, fortran: bool = False) -> DataFrame:
+    """Statistics of each plane of a flattened rank-3 array along an axis: count, NaN and infinite counts, and min, max, mean and
+    population deviation of the finite values. fortran: the first index runs fastest, as MATLAB stores it. The axis defaults to
+    the one with the fewest planes, the first on a tie; of a cube to the one that memory is contiguous along."""
     d0, d1, d2 = shape
-    axis = shape.index(max(shape)) if axis is None else axis
+    if axis is None:
+        axis = (2 if fortran else 0) if d0 == d1 == d2 else shape.index(min(shape))
     pos = F.col("pos")
-    plane = {0: F.floor(pos / (d1 * d2)), 1: F.floor(pos / d2) % d1, 2: pos % d2}[axis].cast("int")
+    by_c = {0: F.floor(pos / (d1 * d2)), 1: F.floor(pos / d2) % d1, 2: pos % d2}
+    by_f = {0: pos % d0, 1: F.floor(pos / d0) % d1, 2: F.floor(pos / (d0 * d1))}
+    plane = (by_f if fortran else by_c)[axis].cast("int")
     flat = df.select(*keys, F.posexplode(values).alias("pos", "raw")).where(pos < d0 * d1 * d2)
     x = F.col("raw").cast("double")
     finite = ~F.isnan(x) & (F.abs(x) != float("inf"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwork.operators import documents as D
 from siftwork.operators import mining as M
-from siftwork.plans.tables import table
+from siftwork.operators import results as R
+from siftwork.plans.tables import spread, table
 from siftwork.sources.stores import json_records
 
 
@@ -30,7 +31,7 @@ def r11_html_text_file_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m5_html_templates_file_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return M.text_templates(D.html_texts(_bodies(spark, d, "Html"), "item_id", "body"), "key", "text")
+    return M.text_templates(D.html_texts(_bodies(spark, d, "Html"), "item_id", "body"), "key", "text").drop("examples")
 
 
 def g6_markdown_blocks_file_bodies(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +46,23 @@ def m2_json_templates_file_bodies(spark: SparkSession, d: str) -> DataFrame:
     return M.json_templates(json_records(_bodies(spark, d, "Json"), "item_id", "body"), "key", "record", "line_no")
 
 
-QUERIES = {f.__name__: f for f in (r_summaries_file_bodies, r10_html_tags_file_bodies, r11_html_text_file_bodies, m5_html_templates_file_bodies, g6_markdown_blocks_file_bodies, m4_markdown_templates_file_bodies, m2_json_templates_file_bodies)}
+def x5_results_file_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Every body as a file of its type: its templates in order, footprint and compression."""
+    kinds = F.when(F.col("file_type").isin("Text", "Markdown", "Json", "Html"), F.col("file_type"))
+    got = R.mined(spread(_bodies(spark, d).where(kinds.isNotNull())), "item_id", "body", kinds)
+    return got.select("key", F.size("templates").alias("templates"), F.to_json("templates").alias("record"), F.to_json("writing_footprint").alias("footprint"), "original_tokens", "compressed_tokens", "reduction_percent")
+
+
+def x4_json_examples_file_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return M.json_examples(json_records(_bodies(spark, d, "Json"), "item_id", "body"), "key", "record", "line_no")
+
+
+def t1_ranked_templates_file_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The templates of the JSON bodies with their rank."""
+    return R.top_templates(m2_json_templates_file_bodies(spark, d), ["key"])
+
+
+QUERIES = {f.__name__: f for f in (r_summaries_file_bodies, r10_html_tags_file_bodies, r11_html_text_file_bodies, m5_html_templates_file_bodies, g6_markdown_blocks_file_bodies, m4_markdown_templates_file_bodies, m2_json_templates_file_bodies, x5_results_file_bodies, x4_json_examples_file_bodies, t1_ranked_templates_file_bodies)}
 SQL = {
     "r10_html_tags_file_bodies": """select distinct item_id as key, len(regexp_extract_all(lower(body), '<p[\\s>]')) as p_count, len(regexp_extract_all(lower(body), '<table[\\s>]')) as table_count from file_bodies where file_type = 'Html' and body is not null""",
 }

@@ -11,6 +11,7 @@ from siftwork.functions import text as X
 from siftwork.functions import typecheck as T
 from siftwork.operators import mining as M
 from siftwork.operators import paths as P
+from siftwork.operators import results as R
 from siftwork.operators import tabular as B
 from siftwork.operators.quality import order_statistics
 from siftwork.plans.tables import spread, table
@@ -74,9 +75,8 @@ def a16_date_stats_lineitem(spark: SparkSession, d: str) -> DataFrame:
 @query("""select feed_no, load_no, round(100.0 * count(*) filter (boolean_field = 1) / count(boolean_field), 6) as true_percentage
  from test_types group by 1, 2""")
 def a17_boolean_stats_test_types(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("boolean_field").cast("string")
-    df = table(spark, d, "test_types").groupBy("feed_no", "load_no").agg((100.0 * F.count_if(T.is_true(v)) / F.nullif(F.count(v), F.lit(0))).alias("true_percentage"))
-    return _round(df, "true_percentage", digits=6)
+    counts = B.cell_counts(table(spark, d, "test_types"), ["boolean_field"], ["feed_no", "load_no"])
+    return _round(B.simple_stats(counts, ["feed_no", "load_no"]).select("feed_no", "load_no", "true_percentage"), "true_percentage", digits=6)
 
 
 @query(
@@ -92,8 +92,8 @@ def a18_null_unique_pdf_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select p_brand, min(octet_length(encode(p_name))) as min_length, max(octet_length(encode(p_name))) as max_length, round(avg(octet_length(encode(p_name))), 6) as avg_length from part where p_name is not null group by 1""")
 def a20_text_lengths_part(spark: SparkSession, d: str) -> DataFrame:
-    n = F.octet_length("p_name")
-    return _round(table(spark, d, "part").where("p_name is not null").groupBy("p_brand").agg(F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.avg(n).alias("avg_length")), "avg_length", digits=6)
+    counts = B.cell_counts(table(spark, d, "part"), ["p_name"], ["p_brand"])
+    return _round(B.simple_stats(counts, ["p_brand"]).select("p_brand", "min_length", "max_length", "avg_length"), "avg_length", digits=6)
 
 
 _PROFILED = {
@@ -136,13 +136,13 @@ _COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "linei
 
 @query(" union all ".join(f"select '{t}' as tbl, count(*) as row_count from {t}" for t in _COUNTED))
 def a25_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [table(spark, d, t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("tbl"), "row_count") for t in _COUNTED])
+    return B.row_counts({t: table(spark, d, t) for t in _COUNTED})
 
 
-@query("""select vec_id, (i - 1) // 16 as plane, count(*) as n_values, round(min(x), 6) as min_value, round(max(x), 6) as max_value, round(avg(x), 6) as mean_value, round(stddev_pop(x), 6) as stdev_pop
+@query("""select vec_id, (i - 1) // 16 as plane, count(*) filter (isfinite(x)) as n_values, count(*) filter (isnan(x)) as nan_count, count(*) filter (isinf(x)) as inf_count, round(min(x), 6) as min_value, round(max(x), 6) as max_value, round(avg(x), 6) as mean_value, round(stddev_pop(x), 6) as stdev_pop
  from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2""")
 def a27_tensor_planes_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    df = B.plane_stats(table(spark, d, "embeddings"), ["vec_id"], "embedding", (4, 4, 4)).drop("nan_count", "inf_count")
+    df = B.plane_stats(table(spark, d, "embeddings"), ["vec_id"], "embedding", (4, 4, 4))
     return _round(df, "min_value", "max_value", "mean_value", "stdev_pop", digits=6).withColumn("plane", F.col("plane").cast("bigint"))
 
 
@@ -156,11 +156,12 @@ def t4_top_sources_documents(spark: SparkSession, d: str) -> DataFrame:
     return B.histogram(table(spark, d, "documents"), "source", 5)
 
 
-@query("""select file_type, count(*) as file_count, round(avg(byte_count), 4) as mean_bytes, round(stddev_pop(byte_count) / avg(byte_count), 6) as cv,
- case when avg(byte_count) > 1000000 then 3 when avg(byte_count) > 100000 or stddev_pop(byte_count) / avg(byte_count) > 1 then 2 else 1 end as multiplier
- from outputs where byte_count is not null group by 1""")
+@query("""with m as (select file_type, count(*) as n, sum(byte_count) // count(*) as mean from outputs where byte_count is not null group by 1),
+ v as (select file_type, n, mean, sqrt(sum((byte_count - mean) * (byte_count - mean)) / n) / mean as cv from outputs join m using (file_type) where byte_count is not null group by file_type, n, mean)
+ select file_type, n as file_count, cast(mean as bigint) as mean_bytes, round(case when mean > 0 then cv else 0 end, 6) as cv,
+ case when n = 1 or file_type in ('Image', 'Audio') then 1 when mean < 100000 then 1 when mean < 1000000 then case when cv > 0.5 then 1 else 2 end when cv > 0.5 then 2 else 3 end as multiplier from v""")
 def a33_size_cv_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return _round(_round(P.adaptive_chunking(table(spark, d, "outputs"), "byte_count", ["file_type"]), "mean_bytes"), "cv", digits=6)
+    return _round(P.adaptive_chunking(table(spark, d, "outputs"), "byte_count", ["file_type"]), "cv", digits=6)
 
 
 @query("""with c as (select l_returnflag as g, l_extendedprice as x from lineitem where l_extendedprice is not null)
@@ -228,35 +229,68 @@ def a35_line_stats_documents(spark: SparkSession, d: str) -> DataFrame:
     return M.line_stats(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
 
 
-@query(r"""select distinct source, lower(regexp_extract(source, '\.([^.]+)$', 1)) in ('log','txt','md','csv','json','db','zip','pdf','parquet','html','toml','yaml') as known from outputs where source is not null""")
-def sc8_known_extensions_outputs(spark: SparkSession, d: str) -> DataFrame:
-    known = ("log", "txt", "md", "csv", "json", "db", "zip", "pdf", "parquet", "html", "toml", "yaml")
-    ext = F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1))
-    return table(spark, d, "outputs").where("source is not null").select("source", ext.isin(*known).alias("known")).distinct()
+# The types of extensions as the reference's documentation lists them, for the SQL only: the operator has a list of its own.
+_TYPED = """Log:log Json:json Text:txt Markdown:md Markdown:markdown Image:jpg Image:jpeg Image:png Image:gif Image:bmp Image:tiff Image:tif Image:webp Image:ico Image:svg
+ Video:mp4 Video:avi Video:mkv Video:mov Video:wmv Video:flv Video:webm Video:m4v Video:3gp Video:ogv Audio:mp3 Audio:flac Audio:wav Audio:m4a Audio:aac Audio:ogg Audio:opus Audio:wma Audio:ape
+ Audio:dsd Audio:dsf Audio:aif Audio:aiff Audio:aifc Csv:csv Csv:tsv Csv:tab Csv:psv Parquet:parquet ArrowIpc:arrow ArrowIpc:feather ArrowIpc:ipc Avro:avro Orc:orc Npy:npy Npz:npz Hdf5:h5 Hdf5:hdf5
+ NetCdf:nc NetCdf:cdf Mtx:mtx Mat:mat Onnx:onnx Gguf:gguf Tflite:tflite Safetensors:safetensors Zarr:zarr Tetration:tet Pickle:pickle Html:html Html:htm Docx:docx Xlsx:xlsx Pptx:pptx
+ Sqlite:db Sqlite:sqlite Sqlite:sqlite3 Toml:toml Toml:lock Ini:ini Ini:cfg Xml:xml Yaml:yaml Yaml:yml Zip:zip Archive:tar Archive:gz Archive:bz2 Archive:xz Archive:tgz Epub:epub Pdf:pdf"""
+_EXT = f"x as (select split_part(p, ':', 1) as file_type, split_part(p, ':', 2) as ext from (select unnest(string_split_regex('{_TYPED}', '\\s+')) as p))"
 
 
-def _path_sql() -> str:
-    ext = " ".join(f"when '{e}' then '{t}'" for e, t in P.TYPE_OF.items())
-    return f"""select case when lower(source) like '%.tar.gz' or lower(source) like '%.tar.bz2' or lower(source) like '%.tar.xz' or lower(source) like '%.tgz' then 'Archive'
- else case lower(regexp_extract(source, '\\.([^./\\\\]+)$', 1)) {ext} else 'Unknown' end end as file_type, count(*) as n from outputs group by 1"""
+@query(f"with {_EXT} select file_type, ext from x")
+def sc8_extensions(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(t, e) for t in P.EXTENSIONS for e in P.extensions_of(t)], "file_type string, ext string")
 
 
-@query(_path_sql())
+@query(f"""with {_EXT}, c as (select distinct event_type || ' ' || e || '_1' as codec from events, (select unnest(['MP3', 'h264', 'Flac', 'aac_latm', 'mp4v', 'pcm', 'vp9']) as e))
+ select codec, exists(select 1 from x where x.file_type = 'Audio' and contains(lower(codec), ext)) as audio, exists(select 1 from x where x.file_type = 'Video' and contains(lower(codec), ext)) as video from c""")
+def sc9_codecs_events(spark: SparkSession, d: str) -> DataFrame:
+    names = F.explode(F.array(*[F.lit(x) for x in ("MP3", "h264", "Flac", "aac_latm", "mp4v", "pcm", "vp9")]))
+    c = table(spark, d, "events").select("event_type").distinct().select("event_type", names.alias("e")).select(F.concat("event_type", F.lit(" "), "e", F.lit("_1")).alias("codec"))
+    return c.select("codec", P.is_codec_of(F.col("codec"), "Audio").alias("audio"), P.is_codec_of(F.col("codec"), "Video").alias("video"))
+
+
+_VARIANTS = "('', '.TAR.GZ', '.tgz', '.Xz', '.markdown', '.lock', '.3GP', '.cdf', '.pkl', '.none')"
+
+
+@query(f"""with {_EXT}, s as (select distinct source || e as source from outputs, (select unnest([{_VARIANTS[1:-1]}]) as e) where source is not null),
+ n as (select source, lower(regexp_extract(source, '^.+\\.([^./]*)$', 1)) as ext from s)
+ select source, case when lower(source) like '%.tar.gz' or lower(source) like '%.tar.bz2' or lower(source) like '%.tar.xz' or lower(source) like '%.tgz' then 'Archive' else coalesce(x.file_type, 'Unknown') end as file_type
+ from n left join x using (ext)""")
 def sc7_classify_outputs(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "outputs").select(F.coalesce(P.file_type(F.col("source")), F.lit("Unknown")).alias("file_type"))
-    return own.groupBy("file_type").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.explode(F.array(*[F.lit(x.strip("' ")) for x in _VARIANTS[1:-1].split(",")]))
+    own = table(spark, d, "outputs").where("source is not null").select("source").distinct().select("source", ends.alias("e")).select(F.concat("source", "e").alias("source"))
+    return own.select("source", P.file_type(F.col("source")).alias("file_type"))
+
+
+@query(f"""with {_EXT}, s as (select distinct source, lower(regexp_extract(source, '\\.([^./]*)$', 1)) as ext from outputs where source is not null) select source, x.file_type from s left join x using (ext)""")
+def j11_types_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """The lookup of SC7 alone: extension to type, null where the map has none."""
+    own = table(spark, d, "outputs").where("source is not null").select("source").distinct()
+    return own.select("source", F.nullif(P.file_type(F.col("source")), F.lit("Unknown")).alias("file_type"))
+
 
+@query("""with l as (select unnest(['Log', 'JSON', 'Text', 'Markdown', 'Image', 'Video', 'Audio', 'CSV', 'PDF', 'DOCX', 'XLSX', 'SQLite', 'TOML', 'ZIP', 'XML', 'HTML', 'YAML', 'INI', 'PPTX', 'EPUB', 'Archive', 'Code', 'Parquet', 'Arrow IPC',
+ 'Avro', 'ORC', 'NPY', 'NPZ', 'HDF5', 'NetCDF', 'Matrix Market', 'MATLAB MAT', 'ONNX', 'GGUF', 'TFLite', 'Safetensors', 'Zarr', 'Tetration', 'Pickle', 'Unknown']) as label), f as (select distinct file_type as label from file_bodies where file_type is not null)
+ select label, case when label in (select label from l) then label end as again from (select label from l union select label from f)""")
+def sc15_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, and what their type is called again: every label comes back, any other text gives null."""
+    known = spark.createDataFrame([(t,) for t in P.LABELS], "t string").select(P.label(F.col("t")).alias("label"))
+    every = known.union(table(spark, d, "file_bodies").where("file_type is not null").select("file_type")).distinct()
+    return every.select("label", P.label(P.labelled(F.col("label"))).alias("again"))
 
-_IGNORED = """with p as (select unnest(['/a/.DS_Store', '/b/Desktop.ini', '~$' || split_part(source, '/', -1), source || '.swp', '/h/.' || split_part(source, '/', -1), source]) as path from (select distinct source from outputs where source is not null)),
+
+_IGNORED = """with p as (select unnest(['/a/.DS_Store', '/b/Desktop.ini', '/c/EHThumbs.DB', '~$' || split_part(source, '/', -1), source || '.swp', source || '~', source || '.bak', source || '.TMP', '/h/.' || split_part(source, '/', -1), source]) as path from (select distinct source from outputs where source is not null)),
  n as (select path, regexp_extract(path, '([^/\\\\]*)$', 1) as name from p)"""
 
 
-@query(f"""{_IGNORED} select distinct path, (name like '.%' and length(name) > 1) or lower(name) in ('.ds_store', 'thumbs.db', 'desktop.ini') or starts_with(name, '~$')
- or suffix(name, '.tmp') or suffix(name, '.temp') or suffix(name, '.swp') or suffix(name, '.swo') or suffix(name, '.bak') as ignored from n""")
+@query(f"""{_IGNORED} select distinct path, name like '.%' or lower(name) in ('.ds_store', 'thumbs.db', 'desktop.ini', 'ehthumbs.db') or starts_with(name, '~$')
+ or suffix(name, '.swp') or suffix(name, '.swo') or suffix(name, '.tmp') or suffix(name, '~') as ignored from n""")
 def sc6_ignored_paths(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "outputs").where("source is not null").select("source").distinct()
     name = P.base_name(F.col("source"))
-    made = F.array(F.lit("/a/.DS_Store"), F.lit("/b/Desktop.ini"), F.concat(F.lit("~$"), name), F.concat("source", F.lit(".swp")), F.concat(F.lit("/h/."), name), F.col("source"))
+    made = F.array(F.lit("/a/.DS_Store"), F.lit("/b/Desktop.ini"), F.lit("/c/EHThumbs.DB"), F.concat(F.lit("~$"), name), *[F.concat("source", F.lit(e)) for e in (".swp", "~", ".bak", ".TMP")], F.concat(F.lit("/h/."), name), F.col("source"))
     return s.select(F.explode(made).alias("path")).select("path", P.is_ignored(F.col("path")).alias("ignored")).distinct()
 
 
@@ -306,7 +340,7 @@ def f26_json_values_events(spark: SparkSession, d: str) -> DataFrame:
  v as (select key, ord, jkey, cast(json_extract(props, '$."' || jkey || '"') as varchar) as value from k),
  n as (select event_type as key, count(*) as n_records from events where props is not null group by 1),
  f as (select key, jkey, value, count(*) as n from v group by 1, 2, 3), s as (select f.* from f join n using (key) where n >= floor(n_records * 0.8)),
- p as (select v.key, v.ord, case when s.value is not null then '"' || v.jkey || '": ' || v.value else '"' || v.jkey || '": [' || v.jkey || '_VALUE]' end as part from v left join s on v.key = s.key and v.jkey = s.jkey and v.value = s.value),
+ p as (select v.key, v.ord, '"' || v.jkey || '": ' || case when s.value is not null then v.value else '[VALUE]' end as part from v left join s on v.key = s.key and v.jkey = s.jkey and v.value = s.value),
  r as (select key, ord, '{' || string_agg(part, ', ' order by part) || '}' as pattern from p group by 1, 2)
  select key, pattern, count(*) as template_count from r group by 1, 2""")
 def m2_json_templates_events(spark: SparkSession, d: str) -> DataFrame:
@@ -381,14 +415,12 @@ def a12_footprint_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m3_text_templates_documents(spark: SparkSession, d: str) -> DataFrame:
-    return M.text_templates(_texts(spark, d), "doc_id", "text")
+    return M.text_templates(_texts(spark, d), "doc_id", "text").drop("examples")
 
 
 @query()
 def a32_compression_documents(spark: SparkSession, d: str) -> DataFrame:
-    texts = _texts(spark, d)
-    originals = texts.select(F.col("doc_id").alias("key"), F.floor(F.octet_length("text") / 4).alias("original_tokens"))
-    return M.compression(M.templates_with_examples(texts, "doc_id", "text"), originals, footprints=M.footprint_tokens(texts, "doc_id", "text"))
+    return R.mined(_texts(spark, d), "doc_id", "text", F.lit("Text")).select("key", "original_tokens", "compressed_tokens", "reduction_percent")
 
 
 @query("""with p as (select file_id as key, template_pattern as pattern from (select distinct template_id, file_id, template_pattern from templates where template_pattern is not null)),
@@ -461,24 +493,7 @@ def a8_sentence_structures_log_lines(spark: SparkSession, d: str) -> DataFrame:
 # --- lookups and unions
 
 
-@query("""select o.file_id, s.tz_name from (select distinct file_id, site_code from outputs) o left join site s using (site_code)""")
-def j11_site_lookup_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "outputs").select("file_id", "site_code").distinct().join(table(spark, d, "site"), "site_code", "left").select("file_id", "tz_name")
-
-
-@query("select p.pdf_id, coalesce(o.n, 0) as n_outputs from (select distinct pdf_id, file_id from pdf_metadata) p left join (select file_id, count(distinct scanned_at) as n from outputs group by 1) o using (file_id)")
-def j2_outputs_of_pdfs(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "outputs").groupBy("file_id").agg(F.countDistinct("scanned_at").alias("n"))
-    p = table(spark, d, "pdf_metadata").select("pdf_id", "file_id").distinct()
-    return p.join(n, "file_id", "left").select("pdf_id", F.coalesce("n", F.lit(0)).alias("n_outputs"))
-
-
-@query("select file_id from outputs where file_id is not null intersect select file_id from templates")
-def j3_files_with_templates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "outputs").select("file_id").join(table(spark, d, "templates").select("file_id"), "file_id", "left_semi").distinct()
-
-
 @query("select distinct file_id, 'pdf' as kind from pdf_metadata union all select distinct file_id, 'tet' from tet_files union all select distinct file_id, 'log' from log_lines")
 def u1_union_of_sources(spark: SparkSession, d: str) -> DataFrame:
-    own = [table(spark, d, t).select("file_id").distinct().withColumn("kind", F.lit(k)) for t, k in (("pdf_metadata", "pdf"), ("tet_files", "tet"), ("log_lines", "log"))]
-    return reduce(DataFrame.unionByName, own)
+    own = {k: table(spark, d, t).select("file_id").distinct() for t, k in (("pdf_metadata", "pdf"), ("tet_files", "tet"), ("log_lines", "log"))}
+    return B.tagged_union(own, "kind")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from siftwork.functions import shapes as S
 from siftwork.functions import text as X
 from siftwork.functions import typecheck as T
+from siftwork.operators import mining as M
 from siftwork.operators import tabular as B
 from siftwork.plans.tables import table
 
@@ -45,10 +47,27 @@ def f7_dates_test_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "test_types").where(v.isNotNull()).groupBy("date_field", T.is_date(v).alias("is_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"select date_field, epoch(try_cast(date_field as date))::bigint as seconds from (select distinct date_field from test_types where regexp_full_match(date_field, '\d{4}-\d{2}-\d{2}'))")
-def f8_date_seconds_test_types(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "test_types").where(F.col("date_field").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("date_field").distinct()
-    return own.select("date_field", T.date_seconds(F.col("date_field")).alias("seconds"))
+_TIMES = """select distinct v from (select date_field as v from test_types union all select creation_date from pdf_metadata union all select modification_date from pdf_metadata
+ union all select created_at from tet_files union all select event_at from tet_history) where v is not null"""
+
+
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    parts = {"test_types": ("date_field",), "pdf_metadata": ("creation_date", "modification_date"), "tet_files": ("created_at",), "tet_history": ("event_at",)}
+    each = [table(spark, d, t).select(F.col(c).alias("v")) for t, cs in parts.items() for c in cs]
+    return reduce(DataFrame.unionByName, each).where("v is not null").distinct()
+
+
+@query(rf"""with s as (select v, regexp_replace(regexp_replace(regexp_replace(trim(v, ' ' || chr(9) || chr(10) || chr(13)), '^\[+', ''), '\]+$', ''), '[,;:]+$', '') as s from ({_TIMES})),
+ z as (select v, s, regexp_matches(s, '^\d{{4}}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([+-]\d\d:\d\d|[Zz])$') as zoned, regexp_matches(s, '^\d{{4}}[-/]\d\d?[-/]\d\d?([ T]\d\d?:\d\d:\d\d(\.\d+)?)?$') as plain from s),
+ t as (select v, case when zoned then epoch(try_cast(upper(s) as timestamptz))
+ when plain and not regexp_matches(s, '^[^ T]*/.*[.T]') and not regexp_matches(s, '-.*/|/.*-') then epoch(coalesce(try_strptime(replace(regexp_replace(s, '\.\d+$', ''), 'T', ' '), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%Y/%m/%d %H:%M:%S', '%Y/%m/%d'])))
+ when regexp_matches(s, '^\d\d?/\d\d?/\d{{4}}$') then epoch(try_strptime(s, '%m/%d/%Y'))
+ when regexp_matches(s, '^\d{{6}}$') then epoch(try_strptime(s[1:4] || case when s[5:6] < '69' then '20' else '19' end || s[5:6], '%d%m%Y'))
+ when regexp_matches(s, '^[A-Za-z]{{3}}\s+[A-Za-z]{{3}}\s+\d\d? \d\d:\d\d:\d\d \d{{4}}$') then epoch(try_strptime(regexp_replace(s, '\s+', ' ', 'g'), '%a %b %d %H:%M:%S %Y'))
+ when regexp_matches(s, '^[A-Za-z]{{3}}\s+\d\d?\s+\d\d:\d\d:\d\d(\.\d+)?$') then epoch(try_strptime(regexp_replace(regexp_replace(s, '\.\d+$', ''), '\s+', ' ', 'g') || ' 2026', '%b %d %H:%M:%S %Y')) end as e from z)
+ select v, cast(floor(e) as bigint) as seconds from t""")
+def f8_date_seconds_times(spark: SparkSession, d: str) -> DataFrame:
+    return _times(spark, d).select("v", T.date_seconds(F.col("v"), 2026).alias("seconds"))
 
 
 @query(f"select token, lower(regexp_replace(token, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as norm, regexp_matches(token, '[\\p{{L}}\\p{{N}}]') as has_alnum, count(*) as n from (select unnest(list_filter(string_split_regex(raw_line, '{_WS}'), lambda t: t <> '')) as token from log_lines where raw_line is not null) group by 1, 2, 3")
@@ -64,7 +83,8 @@ def f13_all_placeholders_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select item_id, s as sentence, len(list_filter(string_split_regex(s, '{_WS}'), lambda t: t <> '')) as words, length(s) as chars, contains(s, '"') or contains(s, '''') as quotes,
- case when suffix(s, '?') then 'question' when suffix(s, '!') then 'exclamation' else 'period' end as end_type from (select distinct item_id, rtrim(text) as s from benchmark where text is not null)""")
+ case when suffix(s, '?') then 'question' when suffix(s, '!') then 'exclamation' else 'period' end as end_type,
+ case regexp_extract(s, '(?s)([?!])[^?!]*$', 1) when '?' then 'question' when '!' then 'exclamation' else 'none' end as emphasis from (select distinct item_id, rtrim(text) as s from benchmark where text is not null)""")
 def f24_sentence_stats_benchmark(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "benchmark").where("text is not null").select("item_id", F.rtrim("text").alias("sentence")).distinct()
     return own.select("item_id", "sentence", S.sentence_stats(F.col("sentence")).alias("s")).select("item_id", "sentence", "s.*")
@@ -112,27 +132,29 @@ def g10_unpivot_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select file_type, min(octet_length(encode(body))) as min_size, max(octet_length(encode(body))) as max_size, round(avg(octet_length(encode(body))), 4) as avg_size from file_bodies where body is not null group by 1")
 def a21_blob_sizes_file_bodies(spark: SparkSession, d: str) -> DataFrame:
-    n = F.octet_length(F.encode("body", "UTF-8"))
-    return table(spark, d, "file_bodies").where("body is not null").groupBy("file_type").agg(F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.round(F.avg(n), 4).alias("avg_size"))
+    own = table(spark, d, "file_bodies").withColumn("body", F.encode("body", "UTF-8"))
+    return B.blob_stats(own, ["file_type"], "body").withColumn("avg_size", F.round("avg_size", 4))
 
 
-@query("select l_returnflag, least(count(distinct l_partkey), 500000) as distinct_parts from lineitem group by 1")
+@query("""select l_returnflag, col_name, least(n, 1000) as unique_count, n > 1000 as capped from (select l_returnflag, 'l_partkey' as col_name, count(distinct l_partkey) as n from lineitem group by 1
+ union all select l_returnflag, 'l_linestatus', count(distinct l_linestatus) from lineitem group by 1)""")
 def a19_capped_distinct_lineitem(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.least(F.countDistinct("l_partkey"), F.lit(500_000)).alias("distinct_parts"))
+    counts = B.cell_counts(table(spark, d, "lineitem"), ["l_partkey", "l_linestatus"], ["l_returnflag"])
+    return B.capped_distinct(counts, ["l_returnflag", "col_name"], 1000)
 
 
-@query(f"""with t as (select item_id, unnest(tok) as token, generate_subscripts(tok, 1) as pos from (select distinct item_id, list_filter(string_split_regex(text, '{_WS}'), lambda t: t <> '') as tok from benchmark where text is not null))
- select item_id, pos - 1 as pos, token, lead(token) over (partition by item_id order by pos) as next from t""")
+@query(f"""with t as (select item_id, unnest(tok) as token, generate_subscripts(tok, 1) as pos from (select distinct item_id, list_filter(string_split_regex(text, '{_WS}'), lambda t: t <> '') as tok from benchmark where text is not null)),
+ n as (select item_id, pos, lower(regexp_replace(token, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as word from t)
+ select item_id as key, pos - 1 as pos, word, nullif(next, '') as next from (select item_id, pos, word, lead(word) over (partition by item_id order by pos) as next from n) where word <> ''""")
 def w2_next_token_benchmark(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").where("text is not null").select("item_id", "text").distinct()
-    t = b.select("item_id", X.tokens(F.col("text")).alias("tok")).select("item_id", "tok", F.posexplode("tok").alias("pos", "token"))
-    return t.select("item_id", F.col("pos").cast("bigint").alias("pos"), "token", F.get("tok", F.col("pos") + 1).alias("next"))
+    return M.successors(b.select("item_id", X.tokens(F.col("text")).alias("tok")), "item_id", "tok").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("select event_type, event_id, value, k from (select event_type, event_id, value, row_number() over (partition by event_type order by value desc, event_id) as k from events where value is not null) where k <= 3")
 def w3_first_of_group_events(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
-    return table(spark, d, "events").where("value is not null").select("event_type", "event_id", "value", k.cast("bigint").alias("k")).where("k <= 3")
+    own = table(spark, d, "events").where("value is not null").select("event_type", "event_id", "value")
+    return B.first_of_groups(own, ["event_type"], [F.desc("value"), "event_id"], 3).withColumn("k", F.col("k").cast("bigint"))
 
 
 @query("""select time_bucket(interval '1 day', ts) as window_start, event_type as label, count(*) as n from events group by 1, 2""")
@@ -152,8 +174,3 @@ def f20_timestamp_presence_log_lines(spark: SparkSession, d: str) -> DataFrame:
 def f22_dialects_file_bodies(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "file_bodies").where("body is not null and file_type = 'Csv'").select("item_id", "body").distinct()
     return own.select("item_id", S.quote_mark(F.col("body")).alias("quote_character"), S.escape_mark(F.col("body")).alias("escape_character"))
-
-
-@query("select file_type, is_binary, max(line_count) as most_lines, sum(byte_count) as bytes from (select distinct * from outputs) group by 1, 2")
-def sc13_scan_totals_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "outputs").distinct().groupBy("file_type", "is_binary").agg(F.max("line_count").alias("most_lines"), F.sum("byte_count").alias("bytes"))

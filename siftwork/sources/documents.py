@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from html.parser import HTMLParser
 
+from siftwork.functions.onetext import lines, parsed, tokens
+from siftwork.sources.columns import date_seconds
+
 _COUNTED = "link style script h1 h2 h3 h4 h5 h6 img table form p ul ol iframe article nav section header footer main".split()
 _CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "figcaption"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -132,22 +134,56 @@ def json_depth(v) -> int:
     return deepest
 
 
+def line_figures(text: str) -> dict:
+    """Bytes, lines, kind of line ends, longest line in bytes and blank lines of a text."""
+    ls = lines(text)
+    crlf = text.count("\r\n")
+    lf, cr = text.count("\n") - crlf, text.count("\r") - crlf
+    kinds = [k for k, n in (("crlf", crlf), ("lf", lf), ("cr", cr)) if n]
+    return {
+        "byte_count": len(text.encode("utf-8", "surrogatepass")),
+        "line_count": len(ls),
+        "line_ending": kinds[0] if len(kinds) == 1 else "mixed" if kinds else None,
+        "max_line_length": max((len(x.encode("utf-8", "surrogatepass")) for x in ls), default=None),
+        "blank_line_count": sum(1 for x in ls if not x.strip()) or None,
+    }
+
+
+def log_summary(data: bytes) -> dict:
+    """Figures of the lines, and whether one of the first fifty holds a time."""
+    text = data.decode()
+    return line_figures(text) | {"has_timestamps": any(map(holds_time, lines(text)[:50]))}
+
+
+_UNIX = re.compile(r"[1-3]\d{9}|4000000000|[1-3]\d{12}|4000000000000")
+
+
+def holds_time(line: str) -> bool:
+    """Whether a line holds a Unix time, or one to six words from one of its first six that are a date or time."""
+    if _UNIX.search(line):
+        return True
+    words = tokens(line)
+    runs = (" ".join(words[i : i + n]) for i in range(min(6, len(words))) for n in range(1, min(6, len(words) - i) + 1))
+    return any(date_seconds(w) is not None for w in runs if re.search(r"\d[/:-]\d|\d{6}", w))
+
+
 def json_summary(data: bytes) -> dict:
-    """Root kind, size, depth and whether it is spread over lines; one object a line counts as lines of records."""
+    """Figures of the lines; kind, size and depth of the root, or the depth of the first line of one value a line; whether it is
+    laid out over indented lines."""
     text = data.decode()
+    out = line_figures(text) | {"pretty_printed": "\n  " in text or "\n\t" in text}
     try:
-        doc = json.loads(text)
-    except ValueError:
-        docs = [json.loads(x) for x in text.splitlines() if x.strip()]
-        return {"root_type": "lines", "root_length": len(docs), "max_depth": max(map(json_depth, docs), default=0), "pretty_printed": False}
-    kind = "object" if isinstance(doc, dict) else "array" if isinstance(doc, list) else "scalar"
-    return {
-        "root_type": kind,
-        "root_length": len(doc) if kind != "scalar" else None,
-        "root_keys": sorted(doc)[:64] if kind == "object" else None,
-        "max_depth": json_depth(doc),
-        "pretty_printed": "\n" in text.strip(),
-    }
+        doc = parsed(text)
+    except (ValueError, RecursionError):
+        try:
+            return out | {"max_depth": json_depth(parsed((lines(text) or [""])[0]))}
+        except (ValueError, RecursionError):
+            return out
+    if isinstance(doc, list):
+        return out | {"root_type": "array", "root_array_length": len(doc), "max_depth": json_depth(doc)}
+    if isinstance(doc, dict):
+        return out | {"root_type": "object", "root_object_key_count": len(doc), "max_depth": json_depth(doc)}
+    return out | {"max_depth": 1}
 
 
 def pdf_summary(data: bytes) -> dict:

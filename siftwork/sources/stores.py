@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import sqlite3
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.functions.onetext import json_values
 from siftwork.sources.containers import quoted
 
 MOST_ARRAYS = 128
@@ -88,44 +88,17 @@ def spine_order(spine: DataFrame, manifest: DataFrame) -> DataFrame:
     return spine.join(own, (spine["book"] == own["book"]) & (spine["idref"] == own["id"])).select(spine["book"], "pos", "href").orderBy("book", "pos")
 
 
-def _record(v) -> str:
-    return json.dumps(v if isinstance(v, dict) else {f"pos_{k:02d}": x for k, x in enumerate(v)} if isinstance(v, list) else {"value": v})
-
-
-def _line_record(line: str) -> str:
-    """A line as it is, unless it is an array."""
-    if line.lstrip().startswith("["):
-        try:
-            return _record(json.loads(line))
-        except (ValueError, RecursionError):
-            pass
-    return line
-
-
-def records_of(doc: str) -> list[str]:
-    """Records of a JSON text: the items of an array, rows under a header array as objects, one object, or one a line where
-    the whole doesn't parse. Other arrays are objects of pos_NN; a text that is one scalar has none."""
-    try:
-        v = json.loads(doc)
-    except (ValueError, RecursionError):
-        return [_line_record(x) for x in re.split(r"\r?\n", doc) if x.strip()]
-    if isinstance(v, dict):
-        return [doc]
-    if not isinstance(v, list) or not v:
-        return []
-    if isinstance(v[0], list) and all(isinstance(x, str) for x in v[0]):
-        named = lambda row: {(v[0][k] if k < len(v[0]) else f"col_{k:02d}"): x for k, x in enumerate(row)}
-        return [json.dumps(named(x)) if isinstance(x, list) else _record(x) for x in v[1:]]
-    return [_record(x) for x in v]
-
-
 def json_records(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no, record of the records of each JSON text."""
+    """key, line_no, record, headers of the records of each JSON text, as `onetext.json_values` tells them; headers are the
+    names in the first row of an array of rows, else null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, r) for k, t in zip(b["key"].tolist(), b["text"].tolist()) for i, r in enumerate(records_of(t))]
-            yield pd.DataFrame(rows, columns=["key", "line_no", "record"])
+            rows = []
+            for k, t in zip(b["key"].tolist(), b["text"].tolist()):
+                records, header = json_values(t)
+                rows += [(k, i, json.dumps(r, ensure_ascii=False), header) for i, r in enumerate(records)]
+            yield pd.DataFrame(rows, columns=["key", "line_no", "record", "headers"])
 
     own = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return own.mapInPandas(run, f"key {dict(df.dtypes)[key]}, line_no int, record string")
+    return own.mapInPandas(run, f"key {dict(df.dtypes)[key]}, line_no int, record string, headers array<string>")

@@ -22,8 +22,8 @@ def test_cell_types(spark, value, want):
 
 
 def test_dates_to_seconds(spark):
-    rows = [("2025-01-05", 1736035200), ("2025-1-5", 1736035200), ("2025/01/05 01:00:00", 1736038800), ("2025-01-05T01:00:00+01:00", 1736035200), ("2025-01-05T01:00:00.5Z", 1736038800), ("1/5/2025", 1736035200), ("Sun Jan  5 00:00:00 2025", 1736035200), ("[2025-01-05]", 1736035200), ("Jan  5 00:00:01", 345601), ("nil", None), ("2025-13-01", None), ("", None), (None, None)]
-    got = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "i int, v string").select("i", T.date_seconds(F.col("v"))).collect()
+    rows = [("2025-01-05", 1736035200), ("2025-1-5", 1736035200), ("2025/01/05 01:00:00", 1736038800), ("2025-01-05T01:00:00+01:00", 1736035200), ("2025-01-05T01:00:00.5Z", 1736038800), ("1/5/2025", 1736035200), ("Sun Jan  5 00:00:00 2025", 1736035200), ("[2025-01-05]", 1736035200), ("Jan  5 00:00:01", 1736035201), ("271125", 1764201600), ("2025-01-05 01:00:00Z", 1736038800), ("nil", None), ("2025-13-01", None), ("", None), (None, None)]
+    got = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "i int, v string").select("i", T.date_seconds(F.col("v"), 2025)).collect()
     assert {r[0]: r[1] for r in got} == {i: w for i, (_, w) in enumerate(rows)}
 
 
