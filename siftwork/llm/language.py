@@ -50,7 +50,7 @@ LANGUAGES = {
 }
 NAMES = {n: code for code, names in LANGUAGES.items() for n in names.split()}
 CODES = tuple(LANGUAGES)
-# Seed text of the language whose common words aren't listed.
+# Seed text of the language that is written without blanks.
 _SEEDS = {**L.COMMON, "zh": "的一是不了在有我们他这中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过后作里"}
 
 
@@ -224,7 +224,7 @@ def stretches(model: Model, ss: list[str]) -> list[tuple[str, float, bool, int,
     """
     clean = [_clean(s) for s in ss]
     chinese = [len(_CJK.findall(c)) for c in clean]
-    whole = [bool(L._END.search(s.strip())) or len(s.split()) >= 5 or n >= 6 for s, n in zip(ss, chinese)]
+    whole = [L.ends_sentence(s.strip()) or len(s.split()) >= 5 or n >= 6 for s, n in zip(ss, chinese)]
     judged = [k for k, c in enumerate(clean) if whole[k] and (len(c) >= LEAST or chinese[k] >= 4)]
     if not judged:
         return []

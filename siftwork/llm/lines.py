@@ -14,8 +14,14 @@ COMMON = {
     "it": "il lo la i gli le di del della e un una in che è per con non si da al più ogni tutte",
     "nl": "de het een van en in is op dat te met voor niet zijn aan er om als bij elke meer dan alle",
     "ru": "и в не на что с по как из у за от для это к о так же но все более перед",
+    "zh": "的 一 是 不 了 在 有 我 这 中 大 来 上 个 到 说 们 为 和 地 所 以 也 时 与 每 其",
 }
-COMMON_WORDS = frozenset(w for ws in COMMON.values() for w in ws.split())
+COMMON_WORDS = frozenset(w for code, ws in COMMON.items() if code != "zh" for w in ws.split())
+#: Bit set of the languages that each word is common in, in the order of COMMON.
+LANGUAGES_OF: dict[str, int] = {}
+for _bit, _words in enumerate(COMMON.values()):
+    for _w in _words.split():
+        LANGUAGES_OF[_w] = LANGUAGES_OF.get(_w, 0) | 1 << _bit
 NAVIGATION = frozenset("page next prev previous top home back menu seite weiter suivant siguiente copyright".split())
 
 CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ"
@@ -30,24 +36,44 @@ _PATH = re.compile(r"^\s*(?:[a-zA-Z]:)?[\w.\-~]*(?:[/\\][\w.\-]+){2,}/?$")
 _BLOB = re.compile(r"^[A-Za-z0-9+/=_\-]{24,}$")
 _SCRAP = re.compile(r"^(?=.*[+=/\d])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]{8,}={0,2}$|^[A-Za-z0-9+/]{2,}==?$")
 _WORD = re.compile(rf"[{CJK}]|[^\W_]+(?:[_'’\-][^\W_]+)*")
-_END = re.compile(r"""\w["'”’»)\]%]*[.!?…]["'”’»)\]*_]*$|[。！？]["'”’»」)\]*_]*$""")
 _STOP = re.compile(r"""[^\W_]["'”’»)\]%]*[.!?]["'”’»)\]]*(?=\s|$)|[。！？]""")
 _GAP = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _CELL = re.compile(r"[,;](?=\S)")
 _TIGHT = re.compile(r"[^\s,;](?:[,;](?:\"[^\"]*\"|[^\s,;\"]*(?: [^\s,;\"]+)*))+")
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"(?<![^\s,;\"])\d[\d.:\-]*(?![^\s,;\"])")
 _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœаеёиоуыэюя]")
 #: Five consonants in a row, in Latin letters.
 _MASH = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
 _ODD = re.compile(r"[¡-©«-´¶-¸»-¿×÷�†-‧€‚„ÂÃÐÑâ]")
 
+
+
+def ends_sentence(s: str) -> bool:
+    """Whether a stripped line ends in a mark behind a word, or in an ideographic one, closing quotes, brackets and emphasis aside."""
+    t = s.rstrip("\"'”’»)]*_")
+    if t and t[-1] in ".!?…":
+        u = t[:-1].rstrip("\"'”’»)]%")
+        return bool(u) and (u[-1].isalnum() or u[-1] == "_")
+    t = t.rstrip("\"'”’»」)]*_")
+    return bool(t) and t[-1] in "。！？"
+
+
 SENTENCE, ENTRY, ROW, RULING, NOISE, HEADING, OTHER = "sentence entry row ruling noise heading other".split()
 
 
-def line_kind(raw: str) -> str:
-    """Kind of one line that isn't blank, looked at on its own."""
+def line_words(raw: str) -> list[str]:
+    """The words of a line in lower case; every character of an ideographic script is one."""
+    if "İ" in raw:  # its lower case is two characters, of which one is no letter
+        return [w.lower() for w in _WORD.findall(raw)]
+    return _WORD.findall(raw.lower())
+
+
+def line_kind(raw: str, known: list[str] | None = None) -> str:
+    """Kind of one line that isn't blank, looked at on its own. known: its words, where the caller has them."""
     s = _QUOTE.sub("", raw) if ">" in raw[:4] else raw
-    s = _TAGS.sub("", s).strip() if "<" in s else s.strip()
+    tagged = "<" in s
+    s = _TAGS.sub("", s).strip() if tagged else s.strip()
     if not s:
         return OTHER
     if _RULING.match(s):
@@ -57,40 +83,38 @@ def line_kind(raw: str) -> str:
     heading = bool(_HEADING.match(s))
     mark = _MARK.match(s)
     body = s[mark.end() :] if mark else s.lstrip("# ") if heading else s
-    ws = _WORD.findall(body)
-    letters = sum(map(len, (w for w in ws if not w.isdigit())))
+    ws = line_words(body) if known is None or mark or tagged else known
+    sizes = sum(map(len, ws))
+    letters = sizes if not _DIGIT.search(body) else sum([len(w) for w in ws if not w.isdigit()])
     if "|" in s and s.count("|") >= 2 and ws or "│" in s or "┃" in s:
         return ROW
     if letters == 0:
         return ROW if len(_NUMBER.findall(s)) >= 2 and _cells(raw.strip("\r\n")) >= 2 else ENTRY if mark and ws else NOISE
-    if not mark and len(ws) <= 3 and all(w.isdigit() or w.lower().rstrip("0123456789") in NAVIGATION for w in ws):
+    if not mark and len(ws) <= 3 and all(w.isdigit() or w.rstrip("0123456789") in NAVIGATION for w in ws):
         return NOISE
-    if _path(s) or (_SETTING.match(body) and not _END.search(body)):
+    if _path(s) or (_SETTING.match(body) and not ends_sentence(body)):
         return HEADING if heading else ENTRY
-    n = len(body.split())
+    n, width = len(body.split()), len(body) - body.count(" ")
     cells = _cells(s)
     if n == 1 and (_SCRAP.match(body) or _BLOB.match(body) and not body.islower() or len(set(body)) <= 4 < len(body) / 3 or len(body) > 60 and not _cjk(body)):
         return NOISE
-    odd = len(_ODD.findall(body))
-    if odd * 5 > len(body.replace(" ", "")):
+    if not body.isascii() and len(_ODD.findall(body)) * 5 > width:
         return NOISE
-    if letters * 3 < len(body.replace(" ", "")) and cells < 2:
+    if letters * 3 < width and cells < 2:
         return ENTRY if mark else NOISE
     cjk = _cjk(body)
     if not cjk and n >= 4:
-        lowered = [w.lower() for w in ws]
-        if sum(map(len, ws)) <= 1.4 * len(ws) and len(ws) >= 6:
-            return NOISE
-        if len(ws) >= 6 and len(set(lowered)) * 4 <= len(ws):
-            return NOISE
-        if sum(map(COMMON_WORDS.__contains__, lowered)) * 8 < len(ws) and cells < 3:  # else it is made of words
-            words = [w for w in lowered if not w.isdigit() and "_" not in w]
-            bare = sum(1 for w in words if len(w) > 2 and not _VOWEL.search(w) or _MASH.search(w))
+        if len(ws) >= 6:
+            if sizes <= 1.4 * len(ws) or len(set(ws)) * 4 <= len(ws):
+                return NOISE
+        if cells < 3 and sum(map(COMMON_WORDS.__contains__, ws)) * 8 < len(ws):  # else it is made of words
+            words = [w for w in ws if not w.isdigit() and "_" not in w]
+            bare = sum([1 for w in words if len(w) > 2 and not _VOWEL.search(w) or _MASH.search(w)])
             if words and bare * 3 >= len(words):
                 return NOISE
-    if cells >= 2 and not (_END.search(body) and n >= 8):
+    if cells >= 2 and not (n >= 8 and ends_sentence(body)):
         return ROW
-    common = cjk >= 4 or any(w.lower() in COMMON_WORDS for w in ws)
+    common = cjk >= 4 or not COMMON_WORDS.isdisjoint(ws)
     if heading:
         return HEADING
     ended = bool(_STOP.search(body))
@@ -118,7 +142,9 @@ def _cjk(s: str) -> int:
 
 def _cells(s: str) -> int:
     """Cells of a line, by gaps, tabs or tight separators: 1 where it has none."""
-    gaps = len(_GAP.findall(s.strip()))
+    gaps = len(_GAP.findall(s.strip())) if "  " in s or "\t" in s else 0
+    if "," not in s and ";" not in s:
+        return 1 + gaps
     tight = len(_CELL.findall(s))
     loose = s.count(", ") + s.count("; ")
     return 1 + max(gaps, tight if tight > loose and "://" not in s else 0)
@@ -134,18 +160,122 @@ def paragraphs(lines: list[str]) -> list[list[str]]:
     return [p for p in out if p]
 
 
+def _stops(x: str) -> int:
+    return len(_STOP.findall((_QUOTE.sub("", x) if ">" in x else x).strip()))
+
+
+def _ends(x: str) -> bool:
+    return ends_sentence((_TAGS.sub("", x) if "<" in x else x).strip())
+
+
+class Paragraph:
+    """What its lines say together: counts that add up over the lines, so that parts of a paragraph merge (`joined`) to what
+    one pass over it gives. Lines that were added here are kept until their kinds are known, as few paragraphs need more."""
+
+    __slots__ = ("size", "kinds", "long_entries", "stops", "words", "barred", "marked", "mark_first", "last_ends", "raw")
+
+    def __init__(self) -> None:
+        self.size = self.long_entries = self.stops = self.words = 0
+        self.kinds: dict[str, int] = {}
+        self.barred = self.marked = self.mark_first = self.last_ends = False
+        self.raw: list[tuple[str, str, int]] = []  # lines whose further counts aren't taken yet
+
+    def add(self, raw: str, kind: str, words: int) -> None:
+        self.raw.append((raw, kind, words))
+
+    def counted(self) -> Paragraph:
+        """Itself, with all counts taken."""
+        for x, k, words in self.raw:
+            mark = _MARK.match(x) is not None
+            if self.size == 0:
+                self.mark_first = mark
+            else:
+                self.marked |= mark
+            self.size += 1
+            self.kinds[k] = self.kinds.get(k, 0) + 1
+            self.long_entries += k == ENTRY and len(x.split()) >= 5
+            self.stops += _stops(x)
+            self.words += words
+            self.barred |= "|" in x or "│" in x
+        if self.raw:
+            self.last_ends = _ends(self.raw[-1][0])
+        self.raw = []
+        return self
+
+    def joined(self, other: Paragraph) -> Paragraph:
+        """This part followed by the other."""
+        a, b = self.counted(), other.counted()
+        if a.size == 0 or b.size == 0:
+            return b if a.size == 0 else a
+        out = Paragraph()
+        out.kinds = {k: a.kinds.get(k, 0) + b.kinds.get(k, 0) for k in {**a.kinds, **b.kinds}}
+        out.size, out.long_entries, out.stops, out.words = a.size + b.size, a.long_entries + b.long_entries, a.stops + b.stops, a.words + b.words
+        out.barred, out.marked, out.mark_first, out.last_ends = a.barred or b.barred, a.marked or b.marked or b.mark_first, a.mark_first, b.last_ends
+        return out
+
+    def packed(self) -> list[int]:
+        p = self.counted()
+        return [p.size, p.long_entries, p.stops, p.words, int(p.barred), int(p.marked), int(p.mark_first), int(p.last_ends), *[p.kinds.get(k, 0) for k in KINDS]]
+
+    @staticmethod
+    def unpacked(v: list[int]) -> Paragraph:
+        p = Paragraph()
+        p.size, p.long_entries, p.stops, p.words = map(int, v[:4])
+        p.barred, p.marked, p.mark_first, p.last_ends = map(bool, v[4:8])
+        p.kinds = {k: int(n) for k, n in zip(KINDS, v[8:]) if n}
+        return p
+
+    def verdict(self) -> str:
+        """How the lines are taken: "alone" as they are, "text" all as sentences but headings, "long" entries of five words or
+        more as sentences. Lines of wrapped prose may be as short as entries: where a paragraph ends as a sentence does and has
+        no marks, rows or rulings that say otherwise, all of its lines belong to sentences."""
+        if self.size == 0 and self.raw:  # all of it is here: only what decides is looked at
+            kinds = [k for _, k, _ in self.raw]
+            if len(kinds) == 1 or not (ENTRY in kinds or ROW in kinds or NOISE in kinds):
+                return "alone"
+            if RULING in kinds or kinds.count(NOISE) * 2 >= len(kinds) or any("|" in x or "│" in x for x, _, _ in self.raw) or any(_MARK.match(x) for x, _, _ in self.raw[1:]):
+                return "alone"
+        p = self.counted()
+        k = p.kinds
+        if p.size <= 1 or not (ENTRY in k or ROW in k or NOISE in k):
+            return "alone"
+        if RULING in k or k.get(NOISE, 0) * 2 >= p.size or p.barred or p.marked:
+            return "alone"
+        if p.stops and p.words >= 5 and (p.words <= 80 * p.stops and p.last_ends or p.stops >= 2 and p.words <= 40 * p.stops):
+            return "text"
+        return "long" if SENTENCE in k else "alone"  # prose without punctuation, a sentence a line: shorter ones are sentences too
+
+    def totals(self) -> dict[str, int]:
+        """Lines of each kind."""
+        how = self.verdict()
+        if how == "alone" and self.raw:
+            out: dict[str, int] = {}
+            for _, k, _ in self.raw:
+                out[k] = out.get(k, 0) + 1
+            return out
+        k = dict(self.kinds)
+        if how == "text":
+            head = k.get(HEADING, 0)
+            return {SENTENCE: self.size - head, HEADING: head}
+        if how == "long":
+            k[SENTENCE] = k.get(SENTENCE, 0) + self.long_entries
+            k[ENTRY] = k.get(ENTRY, 0) - self.long_entries
+        return k
+
+
+KINDS = (SENTENCE, ENTRY, ROW, RULING, NOISE, HEADING, OTHER)
+
+
 def paragraph_kinds(p: list[str]) -> list[str]:
-    """Kinds of the lines of one paragraph. Lines of wrapped prose may be as short as entries: where a paragraph ends as a
-    sentence does and has no marks, rows or rulings that say otherwise, all of its lines belong to sentences."""
-    kinds = [line_kind(x) for x in p]
-    if len(p) == 1 or not (ENTRY in kinds or ROW in kinds or NOISE in kinds):
-        return kinds
-    if RULING in kinds or kinds.count(NOISE) * 2 >= len(p) or any("|" in x or "│" in x for x in p) or any(map(_MARK.match, p[1:])):
-        return kinds
-    text = " ".join(_QUOTE.sub("", x).strip() for x in p)
-    stops, ws = len(_STOP.findall(text)), _WORD.findall(text)
-    if stops and len(ws) >= 5 and (len(ws) <= 80 * stops and _END.search(_TAGS.sub("", p[-1]).strip()) or stops >= 2 and len(ws) <= 40 * stops):
+    """Kinds of the lines of one paragraph."""
+    words = [line_words(x) for x in p]
+    kinds = [line_kind(x, ws) for x, ws in zip(p, words)]
+    whole = Paragraph()
+    for x, k, ws in zip(p, kinds, words):
+        whole.add(x, k, len(ws))
+    how = whole.verdict()
+    if how == "text":
         return [k if k == HEADING else SENTENCE for k in kinds]
-    if SENTENCE in kinds:  # prose without punctuation, a sentence a line: shorter ones are sentences too
+    if how == "long":
         return [SENTENCE if k == ENTRY and len(x.split()) >= 5 else k for k, x in zip(kinds, p)]
     return kinds

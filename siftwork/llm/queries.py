@@ -17,7 +17,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.document_stats(_documents(spark, sf_dir)).dropDuplicates(["doc_id"])
+    return quality.document_stats(_documents(spark, sf_dir))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import namedtuple
 
 import pytest
 
@@ -29,21 +30,39 @@ def test_verdicts(text, want):
 
 def _whole(text):
     s = Q.finished(Q.chunk_state(text))
-    return s.counts, s.vocabulary
+    return s.counts, s.hashed()
+
+
+def _cut_anywhere(text, cuts):
+    states = [Q.chunk_state(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    while len(states) > 1:  # any tree gives the same
+        k = random.randrange(len(states) - 1)
+        packed = [Q._unpacked(Row(*Q._packed(1, "k", 0, s))) for s in states[k : k + 2]]  # as they come from other tasks
+        states[k : k + 2] = [Q.merge(*packed)]
+    done = Q.finished(states[0])
+    return done.counts, done.hashed()
+
+
+Row = namedtuple("Row", "doc_id text_key part head tail first last broken counts vocabulary")
 
 
 def test_chunks_merge_to_the_whole():
     random.seed(6)
     texts = [t for t, _ in CASES if t]
-    for _ in range(150):
-        text = random.choice(["\n\n", "\n \n", "\r\n\r\n"]).join(random.choice(texts) for _ in range(random.randint(1, 6)))
+    for _ in range(300):
+        text = random.choice(["\n\n", "\n \n", "\r\n\r\n", "\n", "\r\n", " "]).join(random.choice(texts) for _ in range(random.randint(1, 6)))
         cuts = sorted(random.randrange(len(text) + 1) for _ in range(random.randint(1, 7)))
-        states = [Q.chunk_state(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        while len(states) > 1:  # any tree gives the same
-            k = random.randrange(len(states) - 1)
-            states[k : k + 2] = [Q.merge(states[k], states[k + 1])]
-        done = Q.finished(states[0])
-        assert (done.counts, done.vocabulary) == _whole(text)
+        assert _cut_anywhere(text, cuts) == _whole(text)
+
+
+def test_paragraphs_lines_and_words_longer_than_chunks():
+    """One paragraph of 9,000 lines, a line of a megabyte and a word of 1.2 million letters, in chunks of any size."""
+    random.seed(7)
+    for text in ("\n".join(f"The line {k} holds the words of the file." for k in range(9_000)), "the word of the file " * 50_000, "a" * 1_200_000, "\n".join(["- an entry"] * 70_000)):
+        for size in (100_000, 262_144, 524_288):
+            assert _cut_anywhere(text, list(range(size, len(text), size))) == _whole(text)
+    done = Q.finished(Q.chunk_state("\n".join(f"The line {k} holds the words of the file." for k in range(9_000)))).counts
+    assert done["lines"] == done["sentences"] == done["sentence"] == 9_000
 
 
 def test_documents_of_any_length(spark):
@@ -52,8 +71,10 @@ def test_documents_of_any_length(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     assert {tuple(r) for r in Q.found(df).collect()} == {(2, "list"), (3, "table"), (4, "junk"), (8, "list")}
     one = {r.doc_id: r for r in Q.document_stats(df).collect()}
-    cut = {r.doc_id: r for r in Q.document_stats(df, 1000).collect()}
-    assert one == cut
+    cut = Q.document_stats(df, 1000).collect()
+    assert one == {r.doc_id: r for r in cut} and len(cut) == 8
+    two = spark.createDataFrame([(1, long, "x"), (1, long + "!", "x"), (1, long, "x"), (1, None, "x")], "doc_id long, text string, kind string")
+    assert len(Q.document_stats(two, 1000).collect()) == 3 and len(Q.document_stats(two).collect()) == 3
     assert one[7].word_count == 400 * one[1].word_count and one[5].word_count == 0 and one[5].period_percent is None and one[1].period_percent == 100.0
 
 
