@@ -72,7 +72,7 @@ def codewords(n: int) -> np.ndarray:
 
 
 _STOP = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«(\[¿¡]*\S)|(?<=[。！？])[\"'”’»」)\]]*")
-_DROP = re.compile(r"\S*[_\d/\\@=<>{}|]\S*")
+_ODD = re.compile(r"[_\d/\\@=<>{}|]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(f"[{L.CJK}]")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
@@ -96,9 +96,8 @@ def sentences(text: str | None) -> tuple[str | None, list[str]]:
                 run.append(_TAG.sub(" ", L._QUOTE.sub("", x)).strip())
             elif run:
                 joined = " ".join(run)
-                if len(_STOP.findall(joined)) * 40 + 40 >= len(run):
-                    parts = _STOP.split(joined) if L._STOP.search(joined) else run
-                else:
+                parts = _STOP.split(joined) if L._STOP.search(joined) else run
+                if len(parts) * 40 < len(run):
                     parts = run
                 out.extend(s for s in parts if s and not s.isspace())
                 run = []
@@ -107,33 +106,36 @@ def sentences(text: str | None) -> tuple[str | None, list[str]]:
 
 def _clean(sentence: str) -> str:
     """Lower-case letters of the sentence, with one space for anything else; identifiers and numbers are taken out."""
-    if sentence.isascii() or not re.search(f"[{L.CJK}]", sentence):
-        sentence = _DROP.sub(" ", sentence)
-    else:
-        sentence = _IDENTIFIER.sub(" ", sentence)
-    return " ".join(_LETTERS.findall(sentence)).lower()
-
-
-def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all cleaned sentences, one after the other, and where each sentence's begin."""
-    codes = np.frombuffer("".join(f" {p} " for p in parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    sizes = np.array([len(p) + 2 for p in parts], dtype=np.int64)
+    if _ODD.search(sentence):
+        if sentence.isascii() or not _CJK.search(sentence):
+            sentence = " ".join([w for w in sentence.split() if not _ODD.search(w)])
+        else:
+            sentence = _IDENTIFIER.sub(" ", sentence)
+    return " ".join(_LETTERS.findall(sentence.lower()))
+
+
+def features(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-grams: their buckets, those of one cleaned sentence after the other, and where each sentence's
+    begin. A sentence has n-grams of every length: it is taken with blanks around it, and filled up with more of them."""
+    width = max(GRAMS)
+    codes = np.frombuffer("".join([f" {p} ".ljust(width) for p in parts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([max(width, len(p) + 2) for p in parts], dtype=np.int64)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    idx, own = [], []
-    h = np.zeros(len(codes), dtype=np.uint64)
+    out = []
+    h = np.zeros(len(codes), dtype=np.uint32)
     for n in GRAMS:
         m = len(codes) - n + 1
-        if m <= 0:
-            break
-        h = h[:m] * np.uint64(0x100000001B3) + codes[n - 1 : n - 1 + m] + np.uint64(n)
-        inside = owner[:m] == owner[n - 1 : n - 1 + m]
-        z = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        idx.append(((z >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)[inside])
-        own.append(owner[:m][inside])
-    i, o = np.concatenate(idx), np.concatenate(own)
-    order = np.argsort(o, kind="stable")
-    return i[order], np.searchsorted(o[order], np.arange(len(parts)))
+        h = h[:m] * np.uint32(0x01000193) + codes[n - 1 : n - 1 + m] + np.uint32(n)
+        z = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        z = (z >> np.uint32(16)) & np.uint32(BUCKETS - 1)
+        # those that run over the end of a sentence are left out
+        inside = np.ones(m, dtype=bool)
+        for k in range(1, n):
+            over = ends[:-1] - k
+            inside[over] = False
+        starts = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes - n + 1)[:-1]])
+        out.append((z[inside].astype(np.intp), starts))
+    return out
 
 
 class Model:
@@ -146,19 +148,26 @@ class Model:
 
     def bits(self, parts: list[str]) -> np.ndarray:
         """Margins of the bits of each cleaned sentence."""
-        idx, start = features(parts)
-        count = np.diff(np.append(start, len(idx))).astype(np.float32)
-        return np.add.reduceat(self.weights[idx], start, axis=0) / np.sqrt(count)[:, None]
+        total, count = np.zeros((len(parts), self.code.shape[1]), dtype=np.float32), np.zeros(len(parts), dtype=np.float32)
+        for idx, start in features(parts):
+            total += np.add.reduceat(self.weights.take(idx, axis=0), start, axis=0)
+            count += np.diff(np.append(start, len(idx)))
+        return total / np.sqrt(count)[:, None]
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
-        """Loss of each language's codeword, weighted by how sure each bit is: the logistic loss of its margin."""
-        return np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(axis=2)
+        """Loss of each language's codeword, weighted by how sure each bit is: the logistic loss of its margin.
+
+        The loss of a bit on the wrong side is that of the right one and the margin more, so losses are a sum over the bits
+        and a product with the bits that a codeword has on the other side.
+        """
+        base = np.logaddexp(0, -margins).sum(axis=1)
+        return base[:, None] + margins @ ((1 - self.code) / 2).T
 
     def fit(self, parts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> None:
         """Logistic regression of every bit by adaptive gradient steps, in an order that only depends on the sample."""
         w = np.zeros_like(self.weights)
         scale = np.full(BUCKETS, 1e-2, dtype=np.float32)
-        ready = [np.unique(features([p])[0]) for p in parts]
+        ready = [np.unique(np.concatenate([i for i, _ in features([p])])) for p in parts]
         rng = np.random.default_rng(7)
         # each language weighs the same, however many sentences the sample has of it
         share = np.bincount(labels, minlength=len(self.languages)).astype(np.float32)
@@ -216,44 +225,76 @@ def agrees(clean: str, code: str) -> bool:
     return code == "ru" or score[code] > 0 and score[code] == max(score.values()) and sum(v == score[code] for v in score.values()) == 1
 
 
-def stretches(model: Model, ss: list[str]) -> list[tuple[str, float, bool, int, int]]:
-    """Language, confidence, ambiguity, first and last sentence of each stretch.
+def judged(ss: list[str]) -> list[tuple[int, str, int]]:
+    """Number, cleaned text and weight of the sentences that are judged on their own. Scraps and those without letters aren't;
+    ideographs weigh four letters."""
+    out = []
+    for k, s in enumerate(ss):
+        clean = _clean(s)
+        chinese = 0 if clean.isascii() else len(_CJK.findall(clean))
+        if (len(clean) >= LEAST or chinese >= 4) and (chinese >= 6 or len(s.split()) >= 5 or L.ends_sentence(s.strip())):
+            out.append((k, clean, len(clean) + 3 * chinese))
+    return out
+
+
+def stretches(model: Model, numbers: list[int], loss: np.ndarray) -> list[tuple[str, float, bool, int, int]]:
+    """Language, confidence, ambiguity, first and last sentence of each stretch of judged sentences, given their losses.
 
     The path through the sentences that costs least, where each costs the loss of its language and each change SWITCH.
-    Sentences too short to be judged cost nothing, those of fewer than FULL letters in proportion.
     """
-    clean = [_clean(s) for s in ss]
-    chinese = [len(_CJK.findall(c)) for c in clean]
-    whole = [L.ends_sentence(s.strip()) or len(s.split()) >= 5 or n >= 6 for s, n in zip(ss, chinese)]
-    judged = [k for k, c in enumerate(clean) if whole[k] and (len(c) >= LEAST or chinese[k] >= 4)]
-    if not judged:
-        return []
-    loss = model.losses(model.bits([clean[k] for k in judged]))
-    size = np.array([len(clean[k]) + 3 * chinese[k] for k in judged])
-    loss = loss * np.minimum(1.0, size / FULL)[:, None]
     n, m = loss.shape
-    cost, back = loss[0].copy(), np.zeros((n, m), dtype=np.int64)
-    for k in range(1, n):
-        best = int(cost.argmin())
-        stay = cost <= cost[best] + SWITCH
-        back[k] = np.where(stay, np.arange(m), best)
-        cost = np.where(stay, cost, cost[best] + SWITCH) + loss[k]
-    path = [int(cost.argmin())]
-    for k in range(n - 1, 0, -1):
-        path.append(int(back[k][path[-1]]))
-    path.reverse()
+    best = loss.argmin(axis=1)
+    if (best == best[0]).all():  # no other path can cost less
+        path = [int(best[0])] * n
+    else:
+        cost, back = loss[0].copy(), np.zeros((n, m), dtype=np.int64)
+        every = np.arange(m)
+        for k in range(1, n):
+            low = int(cost.argmin())
+            stay = cost <= cost[low] + SWITCH
+            back[k] = np.where(stay, every, low)
+            cost = np.where(stay, cost, cost[low] + SWITCH) + loss[k]
+        path = [int(cost.argmin())]
+        for k in range(n - 1, 0, -1):
+            path.append(int(back[k][path[-1]]))
+        path.reverse()
     out = []
     a = 0
     for k in range(1, n + 1):
         if k == n or path[k] != path[a]:
             total = loss[a:k].mean(axis=0)
-            two = np.partition(total, 1)[:2]
-            confidence = float(np.exp(-total[path[a]]) / np.exp(-total).sum())
-            out.append((model.languages[path[a]], confidence, bool(two[1] - two[0] < SWITCH), judged[a], judged[k - 1]))
+            first, second = np.partition(total, 1)[:2]
+            confidence = float(np.exp(first - total[path[a]]) / np.exp(first - total).sum())
+            out.append((model.languages[path[a]], confidence, bool(second - first < SWITCH), numbers[a], numbers[k - 1]))
             a = k
     return out
 
 
+#: Letters of the sentences that are classified at a time.
+AT_ONCE = 65_536
+
+
+def classified(model: Model, documents: list[list[tuple[int, str, int]]]) -> Iterator[list[tuple[str, float, bool, int, int]]]:
+    """The stretches of each document, given its judged sentences; the sentences of many documents are classified together.
+    Those of fewer than FULL letters weigh less in proportion."""
+    at = 0
+    while at < len(documents):
+        upto, size = at, 0
+        while upto < len(documents) and (size < AT_ONCE or upto == at):
+            size += sum([len(c) for _, c, _ in documents[upto]])
+            upto += 1
+        every = [x for d in documents[at:upto] for x in d]
+        loss = None
+        if every:
+            loss = model.losses(model.bits([c for _, c, _ in every]))
+            loss *= np.minimum(1.0, np.array([w for _, _, w in every], dtype=np.float32) / FULL)[:, None]
+        k = 0
+        for d in documents[at:upto]:
+            yield stretches(model, [x[0] for x in d], loss[k : k + len(d)]) if d else []
+            k += len(d)
+        at = upto
+
+
 SEGMENTS = "doc_id bigint, label string, seg_no int, lang string, confidence double, ambiguous boolean, first_sentence int, last_sentence int, segments int"
 
 
@@ -265,13 +306,13 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
         m = Model(known.value[1])
         m.weights = known.value[0]
         for b in batches:
-            out = []
+            kept, sentences_of = [], []
             for d, label, text in zip(b["doc_id"].tolist(), b["lang"].tolist(), b["text"].tolist()):
                 kind, ss = sentences(text)
-                if kind != "prose" or not ss:
-                    continue
-                got = stretches(m, ss)
-                out += [(d, label_code(label), k + 1, *s, len(got)) for k, s in enumerate(got)]
+                if kind == "prose" and ss:
+                    kept.append((d, label_code(label)))
+                    sentences_of.append(judged(ss))
+            out = [(*row, k + 1, *s, len(got)) for row, got in zip(kept, classified(m, sentences_of)) for k, s in enumerate(got)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     return documents.where("doc_id is not null and text is not null").select("doc_id", "lang", "text").mapInPandas(run, SEGMENTS)

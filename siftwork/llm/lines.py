@@ -76,12 +76,20 @@ def line_kind(raw: str, known: list[str] | None = None) -> str:
     s = _TAGS.sub("", s).strip() if tagged else s.strip()
     if not s:
         return OTHER
-    if _RULING.match(s):
-        return RULING if len(s) >= 3 and ("-" in s or "=" in s or "─" in s or "━" in s or "═" in s) and " - " not in s and _ruled(s) else NOISE
-    if _HEX.match(s):
-        return NOISE
-    heading = bool(_HEADING.match(s))
-    mark = _MARK.match(s)
+    # what a line begins with tells which layouts it can't have
+    first, mark, heading = s[0], None, False
+    if first.isalpha():
+        if first in "abcdefABCDEF" and _HEX.match(s):
+            return NOISE
+        start = s[1:6]
+        if "." in start or ")" in start:
+            mark = _MARK.match(s)
+    else:
+        if _RULING.match(s):
+            return RULING if len(s) >= 3 and ("-" in s or "=" in s or "─" in s or "━" in s or "═" in s) and " - " not in s and _ruled(s) else NOISE
+        if _HEX.match(s):
+            return NOISE
+        heading, mark = first == "#" and bool(_HEADING.match(s)), _MARK.match(s)
     body = s[mark.end() :] if mark else s.lstrip("# ") if heading else s
     ws = line_words(body) if known is None or mark or tagged else known
     sizes = sum(map(len, ws))
@@ -90,9 +98,9 @@ def line_kind(raw: str, known: list[str] | None = None) -> str:
         return ROW
     if letters == 0:
         return ROW if len(_NUMBER.findall(s)) >= 2 and _cells(raw.strip("\r\n")) >= 2 else ENTRY if mark and ws else NOISE
-    if not mark and len(ws) <= 3 and all(w.isdigit() or w.rstrip("0123456789") in NAVIGATION for w in ws):
+    if not mark and len(ws) <= 3 and all([w.isdigit() or w.rstrip("0123456789") in NAVIGATION for w in ws]):
         return NOISE
-    if _path(s) or (_SETTING.match(body) and not ends_sentence(body)):
+    if "/" in s and _path(s) or ("=" in body or ":" in body) and _SETTING.match(body) and not ends_sentence(body):
         return HEADING if heading else ENTRY
     n, width = len(body.split()), len(body) - body.count(" ")
     cells = _cells(s)
@@ -103,22 +111,23 @@ def line_kind(raw: str, known: list[str] | None = None) -> str:
     if letters * 3 < width and cells < 2:
         return ENTRY if mark else NOISE
     cjk = _cjk(body)
+    known_words = sum(map(COMMON_WORDS.__contains__, ws))
     if not cjk and n >= 4:
-        if len(ws) >= 6:
-            if sizes <= 1.4 * len(ws) or len(set(ws)) * 4 <= len(ws):
-                return NOISE
-        if cells < 3 and sum(map(COMMON_WORDS.__contains__, ws)) * 8 < len(ws):  # else it is made of words
+        if len(ws) >= 6 and (sizes <= 1.4 * len(ws) or len(set(ws)) * 4 <= len(ws)):
+            return NOISE
+        if cells < 3 and known_words * 8 < len(ws):  # else it is made of words
             words = [w for w in ws if not w.isdigit() and "_" not in w]
             bare = sum([1 for w in words if len(w) > 2 and not _VOWEL.search(w) or _MASH.search(w)])
             if words and bare * 3 >= len(words):
                 return NOISE
     if cells >= 2 and not (n >= 8 and ends_sentence(body)):
         return ROW
-    common = cjk >= 4 or not COMMON_WORDS.isdisjoint(ws)
+    common = cjk >= 4 or known_words > 0
     if heading:
         return HEADING
-    ended = bool(_STOP.search(body))
-    if ended and (len(ws) >= 3 and common or len(ws) >= 4) or common and not mark and (n >= 8 or cjk >= 14):
+    if common and not mark and (n >= 8 or cjk >= 14):
+        return SENTENCE
+    if (len(ws) >= 4 or len(ws) == 3 and common) and _STOP.search(body):
         return SENTENCE
     if not common and len(ws) >= 8 and not mark:
         return NOISE

@@ -5,8 +5,9 @@ boundary between them, and the weakest boundaries are merged first while the joi
 Boundaries are, from strong to weak: paragraph, line, sentence, clause, word; inside a stretch without any of them that
 alone exceeds the limit, characters (a forced cut). Sizes are UTF-8 bytes, and no character is ever cut apart.
 
-Atoms are as fine as needed only: paragraphs are refined to lines and sentences where they are more than an eighth of a
-piece, to clauses and words where they don't fit, so the heap of a body stays proportional to its number of pieces.
+Atoms are the largest segments that fit a piece beside its overlap. That gives the pieces that merging from all boundaries
+gives (tested): boundaries inside such a segment are weaker than those around it, so they come first, and every union of its
+parts fits. So the heap of a body stays proportional to its number of pieces.
 
 Defined cases: a null or empty body, and one at most as large as its limit, is one piece; so is a body whose file type has
 no limit. Recorded byte counts aren't used. Repeats of an item's row count once. A limit under 4 bytes, or an overlap that
@@ -45,17 +46,16 @@ def byte_offsets(text: str) -> np.ndarray:
     return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size)])
 
 
-def atoms(text: str, at: np.ndarray, limit: int, overlap: int) -> tuple[list[int], list[int]]:
-    """Starts of the atomic segments, and the strength of the boundary in front of each."""
+def atoms(text: str, at: np.ndarray, limit: int, overlap: int, all_boundaries: bool = False) -> tuple[list[int], list[int]]:
+    """Starts of the atomic segments, and the strength of the boundary in front of each. all_boundaries: down to words
+    everywhere, also where a larger segment fits."""
     room = limit - overlap
-    fine = min(room, max(64, room // 8))
-    starts, strengths = [0], [PARAGRAPH]
-    todo = [(0, len(text), PARAGRAPH, PARAGRAPH)]  # begin, end, boundary in front, next level
     found: list[tuple[int, int]] = []
+    todo = [(0, len(text), PARAGRAPH, PARAGRAPH)]  # begin, end, boundary in front, next level
     while todo:
         a, b, front, level = todo.pop()
         size = at[b] - at[a]
-        if size <= fine or (level < SENTENCE and size <= room) or (level == FORCED and size <= limit):
+        if size <= room and not all_boundaries or level == FORCED and size <= limit:
             found.append((a, front))
             continue
         if level == FORCED:
@@ -66,8 +66,7 @@ def atoms(text: str, at: np.ndarray, limit: int, overlap: int) -> tuple[list[int
         for k in range(len(edges) - 2, -1, -1):
             todo.append((edges[k], edges[k + 1], front if k == 0 else level, level - 1))
     found.sort()
-    starts, strengths = [x for x, _ in found], [s for _, s in found]
-    return starts, strengths
+    return [x for x, _ in found], [s for _, s in found]
 
 
 def _forced(text: str, at: np.ndarray, a: int, b: int, front: int, room: int) -> list[tuple[int, int]]:

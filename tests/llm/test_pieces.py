@@ -37,6 +37,19 @@ def test_pieces_cover_fit_and_overlap(kind, n, limit, overlap):
     assert (len(got) > 1) == bool(at[-1] > limit)
 
 
+def test_larger_atoms_give_the_pieces_of_all_boundaries():
+    random.seed(8)
+    marks = [" ", " ", " ", ", ", "; ", ". ", "! ", "\n", "\r\n", "\n\n", "。", ") ", "\t"]
+    for _ in range(400):
+        text = "".join("".join(random.choice("abé漢z") for _ in range(random.choice([1, 3, 7, 7, 40]))) + random.choice(marks) for _ in range(random.randint(1, 120)))
+        limit = random.choice([40, 64, 100, 300, 1000])
+        overlap = random.choice([0, limit // 8, limit // 3])
+        at = pieces.byte_offsets(text)
+        few, every = pieces.atoms(text, at, limit, overlap), pieces.atoms(text, at, limit, overlap, True)
+        assert len(few[0]) <= len(every[0])
+        assert pieces.merged(*few, at, len(text), limit, overlap) == pieces.merged(*every, at, len(text), limit, overlap), (text, limit, overlap)
+
+
 def test_paragraphs_are_kept_whole_where_they_fit():
     text = "\n\n".join("word " * 20 + "end." for _ in range(6))
     got = pieces.split(text, 230, 0)
